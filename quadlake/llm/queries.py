@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints
+from .language_id import fit, language_id
 from .line_dedup import line_dedup
+from .mixing import mix
+from .near_dedup import near_dedup
+from .packing import pack_documents
+from .sharding import shard
+from .suffix_dedup import repeated_strings
 from .token_counts import token_counts
 
 
@@ -20,6 +27,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def held_out(doc_id) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    found = docs.select("doc_id", "text").withColumn("found", language_id(docs, model))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -48,5 +66,67 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, doc_id
 """
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_exact_dedup": op3_exact_dedup, "op4_line_dedup": op4_line_dedup}
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).drop("copies")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                  (CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+           FROM documents),
+     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+     w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap,
+                  1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+     f AS (SELECT *, row_number() OVER o AS k, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+           FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+     v AS (SELECT arg_min(level, k) AS level FROM f WHERE level * w <= cap),
+     t AS (SELECT source, source_size, coalesce(least(cap, v.level * w), cap) AS target FROM f, v),
+     p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM t),
+     r AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, target - whole * source_size AS rest,
+                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+           FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       CAST((whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r
+"""
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup(documents(spark, sf_dir), width=5, similarity=0.8)
+    return out.select("doc_id", "class_id", "class_size", "kept")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(documents(spark, sf_dir), shards=40)
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_strings(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_sharding": op9_sharding,
+    "op10_suffix_dedup": op10_suffix_dedup,
+}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
