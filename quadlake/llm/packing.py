@@ -6,16 +6,16 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .token_counts import load
+from .token_counts import Pieces, load
 
 _BROADCAST_ROWS = 2_000_000
-_LONG = 64
 _workers: dict = {}
 
 
@@ -73,54 +73,36 @@ def pack(histogram: dict[int, int], size: int) -> list[Slots]:
     return out
 
 
-class Encoded(dict):
-    """chunk between blanks -> its ids as little-endian 32-bit bytes. Keeps at most `bound` chunks."""
-
-    def __init__(self, tokenizer, bound: int):
-        super().__init__()
-        self.tokenizer, self.bound = tokenizer, bound
-        self[""] = b""
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            pass
-        parts = []
-        for i in range(0, len(chunks), self.bound):
-            block = chunks[i : i + self.bound]
-            long = {c for c in block if len(c) > _LONG}
-            missing = [c for c in set(block) - long if c not in self]
-            if len(self) + len(missing) > 2 * self.bound:
-                self.clear()
-                self[""] = b""
-                missing = list(set(block) - long - {""})
-            self.update(zip(missing, self.encode(missing), strict=True))
-            extra = dict(zip(long, self.encode(list(long)), strict=True))
-            parts += [extra[c] if c in extra else self[c] for c in block]
-        return b"".join(parts)
-
-
-def pieces(docs: DataFrame, spec: str, size: int, end_id: int, id_col: str, text_col: str, cache_size: int = 250_000) -> DataFrame:
+class Encoded(Pieces):
+    """chunk between blanks -> its ids as little-endian 32-bit bytes."""
+
+    def value(self, ids) -> bytes:
+        return ids.tobytes()
+
+    def base(self, piece: str) -> str:
+        return piece.lower() if piece.isascii() else piece
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [not any(s in t for s in self.specials) for t in texts]
+        found = self.prepared([t for t, p in zip(texts, plain, strict=True) if p], lambda t: t.replace("\n", " ").split(" "))
+        for t, p in zip(texts, plain, strict=True):
+            yield b"".join(self.all(next(found))) if p else self.value(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4"))
+
+
+def pieces(docs: DataFrame, spec: str, size: int, end_id: int, id_col: str, text_col: str, cache_size: int = 400_000) -> DataFrame:
     """Full pieces and a rest of every document, with ids; task and own number the pieces of a length within a task."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = shared.value
         if _workers.get("spec") != spec:
-            _workers["spec"], _workers["encoded"] = spec, Encoded(load(spec), cache_size)
+            _workers["spec"], _workers["encoded"] = spec, Encoded(load(spec), {"": b""}, cache_size)
         encoded, task, own = _workers["encoded"], TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = (encoded.ids(text) if text else b"") + end
+            for i, ids in enumerate(encoded.ids([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     n = min(size, total - start)

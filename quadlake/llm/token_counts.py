@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _UNIT = re.compile(r"\s*\S+|\s+")
 _LONG = 64
+_ORDINARY = 50_000
+_MARKS = ".,!?;:"
 _workers: dict = {}
 
 
@@ -37,39 +39,111 @@ def units(text: str) -> list[str]:
     return out
 
 
-class Counted(dict):
-    """unit -> tokens. Starts from the broadcast table; units that are missing are encoded once and kept, up to a bound."""
+class Pieces(dict):
+    """piece -> what the tokenizer makes of it, in a worker. Starts from a table; other pieces are encoded once and kept.
 
-    def __init__(self, tokenizer, frequent: dict[str, int], bound: int):
-        super().__init__(frequent)
-        self.tokenizer, self.frequent, self.bound = tokenizer, frequent, bound
+    Two generations bound the memory: when the young one has `bound` pieces it becomes the old one, and pieces that are met
+    again come back from there. Missing pieces are encoded together, with a special token between them, as the library
+    treats what is left and right of one by itself.
+    """
+
+    def __init__(self, tokenizer, table: dict, bound: int):
+        super().__init__(table)
+        self.tokenizer, self.table, self.bound, self.old = tokenizer, table, bound, {}
+        self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.between, self.mark = next(iter(self.specials.items()))
+
+    def value(self, ids):
+        """What is kept of a piece's ids, a numpy array."""
+        raise NotImplementedError
+
+    def plus(self, a, b):
+        return a + b
+
+    def base(self, piece: str) -> str:
+        """A piece with the same ids."""
+        return piece
+
+    def encoded(self, pieces: list[str]) -> list:
+        import numpy as np
+
+        out = []
+        for i in range(0, len(pieces), 20_000):
+            block = pieces[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            out += [self.value(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return out
 
     def learn(self, missing: list[str]) -> None:
-        if len(self) + len(missing) > self.bound + len(self.frequent):
+        """Marks at the end of a word are pieces of their own for the tokenizer, so the word is looked up without them."""
+        if len(self) + len(missing) > self.bound + len(self.table):
+            self.old = dict(self)
             self.clear()
-            self.update(self.frequent)
-        for i in range(0, len(missing), 4096):
-            block = missing[i : i + 4096]
-            for unit, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                self[unit] = len(e.ids)
-
-    def count(self, text: str, specials: list[str]) -> int:
-        if any(s in text for s in specials):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        own = units(text)
+            self.update(self.table)
+        old, parts, unknown = self.old, {}, set()
+        for piece in missing:
+            if (v := old.get(piece)) is not None:
+                self[piece] = v
+                continue
+            base = self.base(piece)
+            word = base.rstrip(_MARKS)
+            if not word or not word[-1].isalpha():
+                word = base
+            parts[piece] = (word, base[len(word) :])
+            unknown.update(x for x in parts[piece] if x and x not in self)
+        back = {x: old[x] for x in unknown if x in old}
+        self.update(back)
+        fresh = [x for x in unknown if x not in back]
+        self.update(zip(fresh, self.encoded(fresh), strict=True))
+        for piece, (word, tail) in parts.items():
+            if tail:
+                self[piece] = self.plus(self[word], self[tail])
+            elif word != piece:
+                self[piece] = self[word]
+
+    def prepared(self, texts: list[str], cut) -> Iterator[list[str]]:
+        """The pieces of each text; what is missing is learnt for some texts together."""
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            some.append(cut(text))
+            size += len(text)
+            if size > 500_000 or k == len(texts) - 1:
+                missing = [p for p in set().union(*some) if p not in self and len(p) <= _LONG]
+                for i in range(0, len(missing), self.bound // 4):
+                    self.learn(missing[i : i + self.bound // 4])
+                yield from some
+                some, size = [], 0
+
+    def all(self, pieces: list[str]) -> list:
+        """The values of pieces, in order. Long pieces aren't kept."""
         try:
-            return sum(map(self.__getitem__, own))
+            return list(map(self.__getitem__, pieces))
         except KeyError:
             pass
-        long = [u for u in own if len(u) > _LONG]
-        short = [u for u in own if len(u) <= _LONG] if long else own
-        total = sum(len(e.ids) for e in self.tokenizer.encode_batch_fast(long, add_special_tokens=False)) if long else 0
-        for i in range(0, len(short), self.bound):
-            block = short[i : i + self.bound]
-            if missing := [u for u in set(block) if u not in self]:
-                self.learn(missing)
-            total += sum(map(self.__getitem__, block))
-        return total
+        out = []
+        for i in range(0, len(pieces), self.bound // 4):
+            block = pieces[i : i + self.bound // 4]
+            extra = {}
+            if long := list({p for p in block if len(p) > _LONG and p not in self}):
+                extra = dict(zip(long, self.encoded(long), strict=True))
+            while missing := [p for p in set(block) if p not in self and p not in extra]:
+                self.learn(missing)  # a new generation may send some of the block to the old one
+            out += [extra[p] if p in extra else self[p] for p in block] if extra else map(self.__getitem__, block)
+        return out
+
+
+class Counted(Pieces):
+    """unit -> number of tokens."""
+
+    def value(self, ids) -> int:
+        return len(ids)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        plain = [not any(s in t for s in self.specials) for t in texts]
+        found = self.prepared([t for t, p in zip(texts, plain, strict=True) if p], units)
+        return [sum(self.all(next(found))) if p else len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain, strict=True)]
 
 
 def load(spec: str):
@@ -81,29 +155,17 @@ def load(spec: str):
     return _workers[spec]
 
 
-def _specials(tokenizer) -> list[str]:
-    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-
-def frequent_units(docs: DataFrame, text_col: str, spec, size: int, sample_rows: int) -> tuple[list[str], list[int]]:
-    """The most frequent units of a bounded sample of rows. They make the counting faster and never change a count."""
-    rows = docs.select(F.col(text_col).alias("t")).where("t is not null").limit(sample_rows)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(u for u in units(text) if len(u) <= _LONG)
-        top = seen.most_common(size)
-        yield pa.RecordBatch.from_pydict({"unit": [u for u, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("unit", pa.string()), ("n", pa.int64())]))
-
-    best = rows.mapInArrow(gather, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(size).collect()
-    names = [r["unit"] for r in best]
-    tokenizer = load(spec)
-    return names, [len(e.ids) for e in tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+def frequent_units(docs: DataFrame, text_col: str, spec: str, size: int, sample_rows: int) -> tuple[list[str], list[int]]:
+    """The most frequent units of the first `sample_rows` rows of ordinary length that Spark finds, so only a few partitions
+    are read. They make the counting faster and never change a count."""
+    seen: Counter = Counter()
+    for row in docs.select(F.col(text_col).alias("t")).where(F.octet_length("t").between(1, _ORDINARY)).limit(sample_rows).collect():
+        seen.update(u for u in units(row["t"]) if len(u) <= _LONG)
+    names = [u for u, _ in seen.most_common(size)]
+    return names, Counted(load(spec), {}, size).encoded(names) if names else []
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, table_size: int = 65_536, sample_rows: int = 4_000, cache_size: int = 600_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, table_size: int = 65_536, sample_rows: int = 1_000, cache_size: int = 600_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row, counted over the whole text, as the tokenizer file's library does.
 
     One map over the rows, no shuffle: the tokenizer and the `table_size` most frequent units of `sample_rows` rows are
@@ -122,14 +184,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, names, lengths = shared.value
         tokenizer = load(spec)
-        specials = _specials(tokenizer)
         key = (bid, len(names), hash(tuple(names[:50])))
         if _workers.get("key") != key:
             _workers["key"], _workers["counted"] = key, Counted(tokenizer, dict(zip(names, lengths, strict=True)), cache_size)
         counted = _workers["counted"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            n = [counted.count(t, specials) if t else 0 for t in texts]
+            n = counted.counts([t or "" for t in texts])
             size = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
