@@ -117,15 +117,16 @@ class Sketch:
 
 
 def difference(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> int:
-    """How many paragraphs differ. Starts with the fingerprints; a failure is retried with four times the cells."""
-    cells = CELLS
+    """How many paragraphs differ. Starts with the fingerprints. If they can't be peeled, both are sketched again with one and
+    a half cells for each paragraph, enough for texts with nothing in common, and then with twice as many each time."""
+    cells, pair = CELLS, first or (Sketch(a, CELLS), Sketch(b, CELLS))
     while True:
-        pair = first if first and cells == CELLS else (Sketch(a, cells), Sketch(b, cells))
-        if cells * 4 > 5 * abs(len(a) - len(b)) and (got := pair[0].minus(pair[1])) is not None:
+        if abs(len(a) - len(b)) <= cells and (got := pair[0].minus(pair[1])) is not None:
             return len(got[0]) + len(got[1])
         if cells > 64 * (len(a) + len(b) + 16):  # two keys with the same three cells and checks: never seen, but it must end
             return len(np.setxor1d(a, b))
-        cells *= 4
+        cells = max(2 * cells, 3 * (CELLS + (len(a) + len(b)) // 2)) if cells == CELLS else 2 * cells
+        pair = Sketch(a, cells), Sketch(b, cells)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> float:
