@@ -76,17 +76,25 @@ def pack(histogram: dict[int, int], size: int) -> list[Slots]:
 class Encoded(Pieces):
     """chunk between blanks -> its ids as little-endian 32-bit bytes."""
 
-    def value(self, ids) -> bytes:
-        return ids.tobytes()
+    def cut(self, ids, starts: list[int], ends: list[int]) -> list[bytes]:
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
 
     def base(self, piece: str) -> str:
         return piece.lower() if piece.isascii() else piece
 
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """The tokenizer lowers letters; here it is done for whole ASCII texts, where it can't make a special token."""
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         plain = [not any(s in t for s in self.specials) for t in texts]
-        found = self.prepared([t for t, p in zip(texts, plain, strict=True) if p], lambda t: t.replace("\n", " ").split(" "))
+        found = self.found([t for t, p in zip(texts, plain, strict=True) if p], self.chunks)
         for t, p in zip(texts, plain, strict=True):
-            yield b"".join(self.all(next(found))) if p else self.value(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4"))
+            yield b"".join(next(found)) if p else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def pieces(docs: DataFrame, spec: str, size: int, end_id: int, id_col: str, text_col: str, cache_size: int = 400_000) -> DataFrame:

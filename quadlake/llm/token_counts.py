@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_, sub
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +55,8 @@ class Pieces(dict):
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.between, self.mark = next(iter(self.specials.items()))
 
-    def value(self, ids):
-        """What is kept of a piece's ids, a numpy array."""
+    def cut(self, ids, starts: list[int], ends: list[int]) -> list:
+        """What is kept of the pieces ids[start:end], ids a numpy array."""
         raise NotImplementedError
 
     def plus(self, a, b):
@@ -73,7 +75,7 @@ class Pieces(dict):
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             starts = np.concatenate([[0], ends[:-1] + 1])
-            out += [self.value(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            out += self.cut(ids, starts.tolist(), ends.tolist())
         return out
 
     def learn(self, missing: list[str]) -> None:
@@ -82,68 +84,79 @@ class Pieces(dict):
             self.old = dict(self)
             self.clear()
             self.update(self.table)
-        old, parts, unknown = self.old, {}, set()
+        old, parts, unknown = self.old, [], set()
+        add, base_of = unknown.add, self.base
         for piece in missing:
             if (v := old.get(piece)) is not None:
                 self[piece] = v
                 continue
-            base = self.base(piece)
+            base = base_of(piece)
             word = base.rstrip(_MARKS)
-            if not word or not word[-1].isalpha():
-                word = base
-            parts[piece] = (word, base[len(word) :])
-            unknown.update(x for x in parts[piece] if x and x not in self)
-        back = {x: old[x] for x in unknown if x in old}
-        self.update(back)
-        fresh = [x for x in unknown if x not in back]
+            if len(word) == len(base) or not word or not word[-1].isalpha():
+                if base not in self:
+                    add(base)
+                if base != piece:
+                    parts.append((piece, base, ""))
+                continue
+            tail = base[len(word) :]
+            if word not in self:
+                add(word)
+            if tail not in self:
+                add(tail)
+            parts.append((piece, word, tail))
+        fresh = []
+        for x in unknown:
+            if (v := old.get(x)) is not None:
+                self[x] = v
+            else:
+                fresh.append(x)
         self.update(zip(fresh, self.encoded(fresh), strict=True))
-        for piece, (word, tail) in parts.items():
-            if tail:
-                self[piece] = self.plus(self[word], self[tail])
-            elif word != piece:
-                self[piece] = self[word]
-
-    def prepared(self, texts: list[str], cut) -> Iterator[list[str]]:
-        """The pieces of each text; what is missing is learnt for some texts together."""
+        for piece, word, tail in parts:
+            self[piece] = self.plus(self[word], self[tail]) if tail else self[word]
+
+    def found(self, texts: list[str], split) -> Iterator[list]:
+        """The values of each text's pieces, in order. A piece is looked up once; what is missing is encoded for some texts
+        together. Long pieces aren't kept."""
         some, size = [], 0
         for k, text in enumerate(texts):
-            some.append(cut(text))
+            some.append(split(text))
             size += len(text)
             if size > 500_000 or k == len(texts) - 1:
-                missing = [p for p in set().union(*some) if p not in self and len(p) <= _LONG]
-                for i in range(0, len(missing), self.bound // 4):
-                    self.learn(missing[i : i + self.bound // 4])
-                yield from some
+                yield from self.filled(some)
                 some, size = [], 0
 
-    def all(self, pieces: list[str]) -> list:
-        """The values of pieces, in order. Long pieces aren't kept."""
-        try:
-            return list(map(self.__getitem__, pieces))
-        except KeyError:
-            pass
-        out = []
-        for i in range(0, len(pieces), self.bound // 4):
-            block = pieces[i : i + self.bound // 4]
-            extra = {}
-            if long := list({p for p in block if len(p) > _LONG and p not in self}):
-                extra = dict(zip(long, self.encoded(long), strict=True))
-            while missing := [p for p in set(block) if p not in self and p not in extra]:
-                self.learn(missing)  # a new generation may send some of the block to the old one
-            out += [extra[p] if p in extra else self[p] for p in block] if extra else map(self.__getitem__, block)
-        return out
+    def filled(self, some: list[list[str]]) -> list[list]:
+        values = [list(map(self.get, pieces)) for pieces in some]
+        gaps = [(p, v) for p, v in zip(some, values, strict=True) if None in v]
+        missing = set()
+        for p, v in gaps:
+            missing.update(compress(p, map(is_, v, repeat(None))))
+        extra = {}
+        if long := [p for p in missing if len(p) > _LONG]:
+            missing.difference_update(long)
+            extra = dict(zip(long, self.encoded(long), strict=True))
+        short = list(missing)
+        for i in range(0, len(short), self.bound // 4):
+            block = short[i : i + self.bound // 4]
+            self.learn(block)
+            extra.update((p, self[p]) for p in block)
+        for p, v in gaps:
+            for i, x in enumerate(v):
+                if x is None:
+                    v[i] = extra[p[i]]
+        return values
 
 
 class Counted(Pieces):
     """unit -> number of tokens."""
 
-    def value(self, ids) -> int:
-        return len(ids)
+    def cut(self, ids, starts: list[int], ends: list[int]) -> list[int]:
+        return list(map(sub, ends, starts))
 
     def counts(self, texts: list[str]) -> list[int]:
         plain = [not any(s in t for s in self.specials) for t in texts]
-        found = self.prepared([t for t, p in zip(texts, plain, strict=True) if p], units)
-        return [sum(self.all(next(found))) if p else len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain, strict=True)]
+        found = self.found([t for t, p in zip(texts, plain, strict=True) if p], units)
+        return [sum(next(found)) if p else len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain, strict=True)]
 
 
 def load(spec: str):
@@ -161,8 +174,9 @@ def frequent_units(docs: DataFrame, text_col: str, spec: str, size: int, sample_
     seen: Counter = Counter()
     for row in docs.select(F.col(text_col).alias("t")).where(F.octet_length("t").between(1, _ORDINARY)).limit(sample_rows).collect():
         seen.update(u for u in units(row["t"]) if len(u) <= _LONG)
-    names = [u for u, _ in seen.most_common(size)]
-    return names, Counted(load(spec), {}, size).encoded(names) if names else []
+    counted = Counted(load(spec), {}, size)
+    names = [u for u, _ in seen.most_common(size) if not any(s in u for s in counted.specials)]
+    return names, counted.encoded(names) if names else []
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, table_size: int = 65_536, sample_rows: int = 1_000, cache_size: int = 600_000) -> DataFrame:
