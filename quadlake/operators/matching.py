@@ -36,7 +36,8 @@ def greedy_match(predictions: DataFrame, truths: DataFrame, at=(PARAMS.match_iou
     none = F.filter("items", lambda x: F.lit(False))
     add = lambda acc, x: F.when(F.exists(acc, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"])), acc).otherwise(F.array_append(acc, x))
     taken = groups.select("threshold", "image_id", F.explode(F.aggregate("items", none, add)).alias("m"))
-    return taken.select("threshold", "image_id", F.col("m.p").alias("pred_idx"), F.col("m.t").alias("truth_idx"), (-F.col("m.v")).alias("iou"), (-F.col("m.s")).alias("score"))
+    out = taken.select("threshold", "image_id", F.col("m.p").alias("pred_idx"), F.col("m.t").alias("truth_idx"), (-F.col("m.v")).alias("iou"), (-F.col("m.s")).alias("score"))
+    return out.persist()  # every metric starts from it
 
 
 def ioa_ignored(predictions: DataFrame, ignored: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def outcomes(predictions: DataFrame, truths: DataFrame, ignored: DataFrame, at=(
     out = every.join(matched, ["threshold", "image_id", "pred_idx"], "left").join(ioa_ignored(predictions, ignored), ["image_id", "pred_idx"])
     excused = (F.col("ioa") >= F.col("threshold")) & (F.col("ioa") > 0) if use_ignored else F.lit(False)
     kind = F.when(F.col("truth_idx").isNotNull(), "tp").when(excused, "ignored").otherwise("fp")
-    return out.select("threshold", "image_id", "pred_idx", "score", kind.alias("outcome"), "truth_idx", "iou")
+    return out.select("threshold", "image_id", "pred_idx", "score", kind.alias("outcome"), "truth_idx", "iou").persist()
 
 
 def image_stats(found: DataFrame, images: DataFrame, truths: DataFrame, at=COCO_THRESHOLDS) -> DataFrame:

@@ -29,7 +29,7 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return an.area_filter(truth(spark, sf))
+    return an.area_filter(truth(spark, sf)).persist()  # most queries start from it
 
 
 def truth_polygons(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +39,7 @@ def truth_polygons(spark: SparkSession, sf: str) -> DataFrame:
 
 def pred_polygons(spark: SparkSession, sf: str) -> DataFrame:
     quad = g.box_quad(*[F.col(c) for c in ("cx", "cy", "w", "h", "theta")])
-    return fx(spark, sf, "fx_pred").select("image_id", "pred_idx", "score", quad.alias("q"), "theta")
+    return fx(spark, sf, "fx_pred").select("image_id", "pred_idx", "score", quad.alias("q"), "theta").persist()
 
 
 # SQL of the other engine. tq: a row for each truth with normalised (nx, ny) and pixel (x, y) vertices.
