@@ -270,6 +270,70 @@ def test_near_dedup(make, texts):
     assert near_dedup(make([])).count() == 0
 
 
+def copies_without_original(n, length, changed, seed):
+    import random
+
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(9000)}" for _ in range(length)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(length), changed):
+            w[k] = f"new{i}x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def classes_by_force(texts):
+    sets, parent = [sets_of(x) for x in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_dedup_of_copies_whose_original_is_absent(make):
+    """Most pairs of a bucket sit just under or over the similarity, so leaders alone leave many classes."""
+    texts = copies_without_original(300, 300, 4, 3) + copies_without_original(200, 200, 3, 5)
+    got = {r.doc_id: r.class_id for r in near_dedup(make(texts)).collect()}
+    assert got == classes_by_force(texts)
+
+
+@pytest.mark.parametrize("rows", [2048, 7])
+def test_merged_compares_all_blocks(spark, rows):
+    """A bucket with one large class, several small ones and texts alone, dealt to one or many blocks."""
+    from quadlake.llm.common import Scratch
+    from quadlake.llm.near_dedup import merged
+
+    rng = np.random.default_rng(4)
+    base = np.arange(100)
+    sets = {i: np.unique(np.concatenate([rng.permutation(base)[: 100 - i % 40], 1000 * (i + 1) + np.arange(i % 9)])).astype("<u4") for i in range(90)}
+    label = {i: 0 if i < 40 else 40 if i < 50 else i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    labels = spark.createDataFrame([(i, label[i]) for i in range(50)], "node long, label long")
+    members = spark.createDataFrame([(7, i) for i in sets], "key long, node long")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, set binary")
+    got = {r.node: r.label for r in merged(members, labels, table, Scratch(spark, "test"), 0.8, block_rows=rows).collect()}
+    for i in sets:
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                label[max(find(i), find(j))] = min(find(i), find(j))
+    assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets} and 1 < len(set(map(find, sets))) < 40
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     keys = np.arange(1, 61, dtype=np.uint64) * np.uint64(7919)
     a, b = np.arange(60) % 4 + 1, (np.arange(60) % 3) + 1
