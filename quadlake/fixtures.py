@@ -10,12 +10,12 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 VIEWS = {
     "fx_images": """SELECT DISTINCT l_orderkey AS image_id, CAST(640 + 32 * (l_orderkey % 11) AS INT) AS width,
-       CAST(480 + 32 * (l_orderkey % 7) AS INT) AS height FROM lineitem WHERE l_orderkey % 10 = 0""",
+       CAST(480 + 32 * (l_orderkey % 7) AS INT) AS height FROM lineitem""",
     "fx_keys": """SELECT l_orderkey AS image_id, l_partkey AS pk, l_suppkey AS sk, l_quantity AS qty,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS ann_idx
-       FROM lineitem WHERE l_orderkey % 10 = 0""",
+       FROM lineitem""",
     "fx_box": """SELECT k.image_id, CAST(ann_idx AS INT) AS ann_idx, 0 AS class_id,
-       (0.35 + 0.30 * ((pk * 37 + ann_idx * 211) % 1000) / 1000.0 + CASE WHEN k.image_id % 70 = 0 THEN 0.25 ELSE 0 END) * width AS cx,
+       (0.35 + 0.30 * ((pk * 37 + ann_idx * 211) % 1000) / 1000.0 + CASE WHEN k.image_id % 7 = 0 THEN 0.25 ELSE 0 END) * width AS cx,
        (0.35 + 0.30 * ((sk * 53 + ann_idx * 577 + k.image_id * 3) % 1000) / 1000.0) * height AS cy,
        CAST((0.12 + 0.28 * (qty / 50.0)) * height AS DOUBLE) AS w,
        CAST((0.12 + 0.28 * (qty / 50.0)) * height / (1.02 + ((pk + ann_idx) % 31) / 10.0) AS DOUBLE) AS h,

@@ -92,3 +92,18 @@ def test_label_tree_round_trip(spark, tmp_path):
 def test_test_accesses_count_unreadable_lines(spark):
     df = spark.createDataFrame([('{"utc": "u", "run": "r", "reason": "why"}',), ("{broken",), (" ",)], "value string")
     assert [tuple(r) for r in labels.read_test_accesses(df).collect()] == [("u", "r", "why", True), ("?", "?", "[unreadable line]", False)]
+
+
+def test_every_order_is_an_image(spark, tmp_path):
+    from quadlake.fixtures import fx
+
+    rows = [(k, 10 + k, 3 * k + n, n, 5.0 * n, 100.0 * k, "2020-01-01") for k in range(1, 41) for n in (1, 2)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate string")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r.image_id for r in fx(spark, str(tmp_path), "fx_images").collect()) == list(range(1, 41))
+    boxes = fx(spark, str(tmp_path), "fx_box").collect()
+    assert sorted((r.image_id, r.ann_idx) for r in boxes) == [(k, n) for k in range(1, 41) for n in (0, 1)]
+    shifted = {r.image_id for r in boxes if float(r.cx) / (640 + 32 * (r.image_id % 11)) - 0.35 - 0.0003 * (((10 + r.image_id) * 37 + r.ann_idx * 211) % 1000) > 0.2}
+    assert shifted == {7, 14, 21, 28, 35}
+    truths = fx(spark, str(tmp_path), "fx_truth").select("image_id").distinct().count()
+    assert truths == fx(spark, str(tmp_path), "fx_cells").select("image_id").distinct().count() == 40
