@@ -17,18 +17,56 @@ _MARKS = ".,!?;:*$%&#|()"
 _workers: dict = {}
 
 
+#: Words of more characters aren't cached; those of more than _BLOCK are counted by numpy, a block at a time.
+_LONG, _BLOCK = 64, 4096
+
+
 def subwords(word: str, buckets: int) -> list[int]:
     """Buckets of a lower-case word's letters: the word and its 2- and 3-grams with its ends marked."""
     letters = "".join(filter(str.isalpha, word))
     if not letters:
         return []
-    if len(letters) > 64:
-        letters = letters[:64]  # of one unbroken run of letters; texts are always read whole
     marked = f"<{letters}>"
     grams = [marked, *(marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1))]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
+def subword_counts(word: str, buckets: int, block: int = 1 << 20) -> np.ndarray:
+    """How often `subwords` of a word has each bucket, for words of any length: a block of it is held at a time."""
+    out = np.zeros(buckets, np.int64)
+    tail, crc, some = "<", zlib.crc32(b"<"), False
+    for i in range(0, len(word), block):
+        piece = "".join(filter(str.isalpha, word[i : i + block]))
+        some = some or bool(piece)
+        if i + block >= len(word):
+            piece += ">"
+        crc = zlib.crc32(piece.encode("utf-8"), crc)
+        codes = np.frombuffer((tail + piece).encode("utf-32-le"), "<u4").astype(np.int64)
+        for n in (2, 3):
+            own = codes[max(0, len(tail) - n + 1) :]  # grams that end in this piece
+            if len(own) < n:
+                continue
+            grams = own[: len(own) - n + 1]
+            for k in range(1, n):
+                grams = grams << 21 | own[k : len(own) - n + 1 + k]
+            distinct, counts = np.unique(grams, return_counts=True)
+            ids = [zlib.crc32("".join(chr(g >> 21 * k & 0x1FFFFF) for k in range(n - 1, -1, -1)).encode("utf-8")) % buckets for g in distinct.tolist()]
+            np.add.at(out, ids, counts)
+        tail = (tail + piece)[-2:]
+    if not some:
+        return np.zeros(buckets, np.int64)
+    out[crc % buckets] += 1
+    return out
+
+
+def bag_of(text: str | None, buckets: int) -> np.ndarray:
+    """The sorted buckets of all subwords of a text."""
+    words = (text or "").lower().split()
+    bags = [np.array([s for w in words if len(w) <= _BLOCK for s in subwords(w, buckets)], "<u2")]
+    bags += [np.repeat(np.arange(buckets, dtype="<u2"), subword_counts(w, buckets)) for w in words if len(w) > _BLOCK]
+    return np.sort(np.concatenate(bags))
+
+
 @dataclass
 class Model:
     """table: a subword's logits, that is its embedding times the softmax weights; bias; temperature; least score accepted."""
@@ -108,8 +146,7 @@ def sample_bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [np.array([s for w in (t or "").lower().split() for s in subwords(w, buckets)], "<u2") for t in batch.column(2).to_pylist()]
-            packed = [np.sort(x).tobytes() for x in bags]
+            packed = [bag_of(t, buckets).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["at", "lang", "bag"])
 
     got = chosen.mapInArrow(gather, "at long, lang string, bag binary").where(F.length("bag") > 0).collect()
@@ -132,30 +169,42 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 class Words(dict):
-    """word -> row of summed logits and number of subwords. Keeps at most `bound` words."""
+    """word -> row of summed logits and number of subwords. Keeps at most `bound` words. What isn't kept (long words, and others
+    when it is full) is added to `extra` and has the last row, of zeros."""
 
     def __init__(self, model: Model, bound: int):
         super().__init__()
         self.model, self.bound, self.used = model, bound, 0
         self.rows = np.zeros((bound + 1, len(model.labels) + 1), np.float64)
+        self.extra = np.zeros(self.rows.shape[1])
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(_MARKS)
         if bare != word and bare:
             k = self[bare]
-            if len(self) < self.bound:
+            if k < self.bound and len(self) < self.bound and len(word) <= _LONG:
                 self[word] = k
             return k
-        ids = subwords(word, len(self.model.table))
-        k = self.used if len(self) < self.bound else self.bound
-        if k < self.bound:
-            self[word] = k
-            self.used += 1
-        self.rows[k, :-1], self.rows[k, -1] = self.model.table[ids].sum(axis=0) if ids else 0, len(ids)
+        buckets = len(self.model.table)
+        if len(word) > _BLOCK:
+            counts = subword_counts(word, buckets)
+            self.extra[:-1] += counts @ self.model.table.astype(np.float64)
+            self.extra[-1] += counts.sum()
+            return self.bound
+        ids = subwords(word, buckets)
+        sums = self.model.table[ids].sum(axis=0) if ids else 0
+        if len(word) > _LONG or len(self) >= self.bound:
+            self.extra[:-1] += sums
+            self.extra[-1] += len(ids)
+            return self.bound
+        k = self[word] = self.used
+        self.used += 1
+        self.rows[k, :-1], self.rows[k, -1] = sums, len(ids)
         return k
 
     def sums(self, text: str) -> np.ndarray:
         total = np.zeros(self.rows.shape[1])
+        self.extra[:] = 0
         words = text.lower().split()
         for i in range(0, len(words), 50_000):
             block = words[i : i + 50_000]
@@ -163,7 +212,7 @@ class Words(dict):
                 self.clear()
                 self.used = 0
             total += self.rows[np.fromiter(map(self.__getitem__, block), np.int64, len(block))].sum(axis=0)
-        return total
+        return total + self.extra
 
 
 def language_id(docs: DataFrame, model: Model, *, text_col: str = "text", cache_size: int = 400_000) -> Column:

@@ -66,6 +66,43 @@ def test_language_id(make):
     assert empty.withColumn("f", language_id(empty, fit(empty))).count() == 0
 
 
+@pytest.mark.parametrize("length", [1500, 5000])
+def test_language_of_unbroken_runs(make, length):
+    """A text without blanks is judged by all its letters, not by the first ones."""
+    rng = np.random.default_rng(1)
+    forms = {"aa": ["taka", "ruko", "pami", "lota"], "bb": ["schen", "burg", "licht", "wegs"]}
+    rows = [(i, " ".join("".join(rng.choice(forms[lang], 2)) for _ in range(30)), lang, "s") for i in range(200) for lang in [list(forms)[i % 2]]]
+    model = fit(make(rows), rows=200)
+
+    def run(lang, n):
+        return "".join(rng.choice(forms[lang], n))[:n]
+
+    tests = [(0, run("aa", 70) + run("bb", length), "bb", "s"), (1, run("bb", 70) + run("aa", length), "aa", "s"), (2, "1-".join(run("bb", length)), "bb", "s"), (3, "1" * 2 * length, None, "s")]
+    docs = make(tests)
+    got = docs.withColumn("f", language_id(docs, model)).select("doc_id", "f.lang_pred").collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {0: "bb", 1: "aa", 2: "bb", 3: "und"}
+
+
+def test_subwords_of_long_runs_are_all_counted():
+    from quadlake.llm.language_id import Model, Words, bag_of, subword_counts, subwords
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 63, 64, 65, 200, 9000):
+        word = "".join(rng.choice(list("abcñé中文字𐐨1-."), n))
+        want = np.bincount(np.array(subwords(word, 32_768), np.int64), minlength=32_768)
+        for block in (1, 2, 3, 50, 1 << 20):
+            assert (subword_counts(word, 32_768, block) == want).all()
+        assert (np.bincount(bag_of(word, 32_768), minlength=32_768) == want).all()
+        letters = sum(map(str.isalpha, word))
+        assert want.sum() == (2 * letters + 2 if letters else 0)
+        model = Model(["a", "b"], rng.normal(size=(32_768, 2)).astype(np.float32), np.zeros(2, np.float32))
+        words = Words(model, 100_000)
+        text = f"ab {word} cd {word}"
+        everything = [s for w in text.split() for s in subwords(w.strip(".") or w, 32_768)]
+        assert words.sums(text) == pytest.approx([*model.table[everything].sum(axis=0, dtype=np.float64), len(everything)], rel=1e-4, abs=1e-2)
+        assert words.sums(text) == pytest.approx(words.sums(text)) and all(len(w) <= 64 for w in words)
+
+
 @pytest.mark.parametrize("bucket_rows", [None, 3])
 def test_exact_dedup(make, texts, bucket_rows):
     rows = [(i, x, "en", "s") for i, x in enumerate(texts)] + [(100 + i, "hot", "en", "s") for i in range(30)] + [(None, "hot", "en", "s"), (None, "n", "en", "s"), (500, "twice", "en", "s"), (500, "twice", "en", "s")]
