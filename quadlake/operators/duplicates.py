@@ -18,13 +18,17 @@ def centered_unit(v: Column) -> Column:
     return let(off, lambda o: let(norm(o), lambda n: F.transform(o, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
-def near_pairs(signatures: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
+_BLOCK_ROWS = 5000
+
+
+def near_pairs(signatures: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """a, b (a < b), correlation of all pairs strictly over the threshold. signatures: id, sig (unit vectors).
 
-    Every pair is compared, in blocks: rows are dealt to `blocks` blocks by a hash, each pair of blocks meets in one task, and
-    a task multiplies two matrices. The work is quadratic by definition (all pairs are asked for); blocks bound a task's
+    Every pair is compared, in blocks: rows are dealt to `blocks` blocks by a hash (None: of about 5,000 rows each, 8 at
+    least), each pair of blocks meets in one task, and a task multiplies two matrices. The work is quadratic by definition (all pairs are asked for); blocks bound a task's
     memory. For tables where that is too much, near_pairs_lsh finds the same pairs with high probability.
     """
+    blocks = blocks or max(8, -(-signatures.count() // _BLOCK_ROWS))
     rows = signatures.select("id", "sig", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sent = rows.withColumn("o", other).select(F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "id", "sig")
