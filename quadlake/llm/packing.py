@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .token_counts import Pieces, load
 
-_BROADCAST_ROWS = 2_000_000
+#: Words of these letters stand for themselves in any normal form and in lower case, and are one piece for the pre-tokenizer.
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: Rows of prefix sums (three numbers each) that a broadcast may have: some 5 MB.
+_BROADCAST_ROWS = 200_000
 _workers: dict = {}
 
 
@@ -76,12 +81,28 @@ def pack(histogram: dict[int, int], size: int) -> list[Slots]:
 class Encoded(Pieces):
     """chunk between blanks -> its ids as little-endian 32-bit bytes."""
 
+    def __init__(self, tokenizer, table: dict, bound: int):
+        from tokenizers import pre_tokenizers
+
+        super().__init__(tokenizer, table, bound)
+        seen = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: seen.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """Simple words need neither normalizer nor pre-tokenizer: the library's model gets them as they stand."""
+        model, letters = self.tokenizer.model.tokenize, self.letters
+        out = {p: array("I", [t.id for t in model(p if p.isascii() else p.translate(letters))]).tobytes() for p in pieces if _SIMPLE.fullmatch(p)}
+        others = [p for p in pieces if p not in out]
+        out.update(zip(others, super().encoded(others), strict=True))
+        return [out[p] for p in pieces]
+
     def cut(self, ids, starts: list[int], ends: list[int]) -> list[bytes]:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
 
     def base(self, piece: str) -> str:
-        return piece.lower() if piece.isascii() else piece
+        """Special tokens are sought before letters are lowered, so nothing that could become one is lowered here."""
+        return piece.lower() if piece.isascii() and "<|" not in piece else piece
 
     @staticmethod
     def chunks(text: str) -> list[str]:

@@ -17,7 +17,7 @@ _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _UNIT = re.compile(r"\s*\S+|\s+")
 _LONG = 64
 _ORDINARY = 50_000
-_MARKS = ".,!?;:"
+_MARKS = ".,!?;:&$*%#"
 _workers: dict = {}
 
 
@@ -141,9 +141,7 @@ class Pieces(dict):
             self.learn(block)
             extra.update((p, self[p]) for p in block)
         for p, v in gaps:
-            for i, x in enumerate(v):
-                if x is None:
-                    v[i] = extra[p[i]]
+            v[:] = map(extra.get, p, v)
         return values
 
 

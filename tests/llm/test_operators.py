@@ -148,6 +148,7 @@ def test_line_dedup(make, texts):
 def test_packing(make, texts):
     t = Tokenizer.from_file(WORD)
     size = 64
+    texts = [*texts, "a <|EndOfText|> b", "x <|StartOfText|> y", "<|endoftext|> <|ENDOFTEXT|>!!$ ß Ÿ é × don't&&&'S", "<|startof <|STARTOFTEXT|><|startoftext|>"]
     got = pack_documents(make(texts), WORD, size=size).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
@@ -168,6 +169,8 @@ def test_packing(make, texts):
         assert at <= size
     assert len(by_seq) == -(-total // size)
     assert pack_documents(make([]), WORD).count() == 0
+    again = pack_documents(make([(None, "one two", "en", "s"), (None, None, "en", "s"), (3, "x y z", "en", "s"), (3, "x y z", "en", "s")]), WORD).collect()
+    assert Counter(r.doc_id for r in again) == {None: 2, 3: 2} and sorted(r.offset for r in again)[0] == 0 and len({r.sequence_id for r in again}) == 1
 
 
 def test_pack_bulk():
