@@ -15,13 +15,13 @@ VIEWS = {
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS ann_idx
        FROM lineitem""",
     "fx_box": """SELECT k.image_id, CAST(ann_idx AS INT) AS ann_idx, 0 AS class_id,
-       (0.35 + 0.30 * ((pk * 37 + ann_idx * 211) % 1000) / 1000.0 + CASE WHEN k.image_id % 7 = 0 THEN 0.25 ELSE 0 END) * width AS cx,
-       (0.35 + 0.30 * ((sk * 53 + ann_idx * 577 + k.image_id * 3) % 1000) / 1000.0) * height AS cy,
+       CAST((0.35 + 0.30 * ((pk * 37 + ann_idx * 211) % 1000) / 1000.0 + CASE WHEN k.image_id % 7 = 0 THEN 0.25 ELSE 0 END) * width AS DOUBLE) AS cx,
+       CAST((0.35 + 0.30 * ((sk * 53 + ann_idx * 577 + k.image_id * 3) % 1000) / 1000.0) * height AS DOUBLE) AS cy,
        CAST((0.12 + 0.28 * (qty / 50.0)) * height AS DOUBLE) AS w,
        CAST((0.12 + 0.28 * (qty / 50.0)) * height / (1.02 + ((pk + ann_idx) % 31) / 10.0) AS DOUBLE) AS h,
-       3.141592653589793 * ((k.image_id * 7 + ann_idx * 31) % 180) / 180.0 AS theta,
+       CAST(3.141592653589793 * ((k.image_id * 7 + ann_idx * 31) % 180) / 180.0 AS DOUBLE) AS theta,
        (pk * 13 + ann_idx) % 10 AS kind, (pk + 3 * ann_idx) % 11 - 5 AS jx, (sk + 5 * ann_idx) % 11 - 5 AS jy,
-       ((pk * 7919 + sk * 104729 + ann_idx * 31) % 1000) / 1000.0 AS score
+       CAST(((pk * 7919 + sk * 104729 + ann_idx * 31) % 1000) / 1000.0 AS DOUBLE) AS score
        FROM fx_keys k JOIN fx_images i ON k.image_id = i.image_id""",
     "fx_truth": "SELECT image_id, ann_idx, class_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, w, h, CAST(theta AS DOUBLE) AS theta FROM fx_box",
     "fx_pred": """SELECT image_id, ann_idx AS pred_idx, 0 AS class_id, CAST(cx + jx * 0.06 * h AS DOUBLE) AS cx, CAST(cy + jy * 0.06 * h AS DOUBLE) AS cy,

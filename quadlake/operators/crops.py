@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import PARAMS, Params
+from ..scratch import written
 from .overlap import covered_by
 
 
@@ -17,7 +18,8 @@ def crop_samples(matches: DataFrame, predictions: DataFrame, truths: DataFrame,
     under the union of all other truths and ignored quads; null if missed.
     """
     crops = matches.select("image_id", "pred_idx", "truth_idx").join(predictions.select("image_id", "pred_idx", "q"), ["image_id", "pred_idx"])
-    crops = crops.withColumn("margin", F.explode(F.array(*[F.lit(float(m)) for m in margins]))).withColumn("q", g.expand(F.col("q"), F.col("margin"))).persist()
+    crops = crops.withColumn("margin", F.explode(F.array(*[F.lit(float(m)) for m in margins]))).withColumn("q", g.expand(F.col("q"), F.col("margin")))
+    crops = written(crops)
     keys = ["margin", "image_id", "truth_idx"]
     targets = truths.join(crops.select(*keys), ["image_id", "truth_idx"]).select(*keys, F.lit(0).alias("idx"), "q")
     coverage = covered_by(targets, crops.select(*keys, F.lit(0).alias("c_idx"), "q"), keys).select(*keys, (F.col("covered") / F.col("area")).alias("coverage"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import let
+from ..scratch import shared_root
 
 
 def centered_unit(v: Column) -> Column:
@@ -74,11 +75,7 @@ def groups(pairs: DataFrame) -> DataFrame:
     """id, label: connected components named by their least id. Least labels around, then labels of labels, until no change;
     each round is checkpointed to the shared folder."""
     spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-quadlake-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    spark.sparkContext.setCheckpointDir(shared_root(spark))
     edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).checkpoint()
     labels = edges.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")).checkpoint()
     while True:

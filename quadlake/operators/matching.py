@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import COCO_THRESHOLDS, PARAMS
+from ..scratch import written
 from .overlap import covered_by, rotated_iou
 
 
@@ -18,7 +19,7 @@ def pair_ious(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     a = predictions.select("image_id", F.col("pred_idx").alias("a_idx"), F.col("q").alias("qa"))
     b = truths.select("image_id", F.col("truth_idx").alias("b_idx"), F.col("q").alias("qb"))
     out = rotated_iou(a, b, ["image_id"]).where("inter > 0")
-    return out.select("image_id", F.col("a_idx").alias("pred_idx"), F.col("b_idx").alias("truth_idx"), F.round("iou", 9).alias("iou"))
+    return written(out.select("image_id", F.col("a_idx").alias("pred_idx"), F.col("b_idx").alias("truth_idx"), F.round("iou", 9).alias("iou")))
 
 
 def greedy_match(predictions: DataFrame, truths: DataFrame, at=(PARAMS.match_iou,)) -> DataFrame:
@@ -37,7 +38,7 @@ def greedy_match(predictions: DataFrame, truths: DataFrame, at=(PARAMS.match_iou
     add = lambda acc, x: F.when(F.exists(acc, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"])), acc).otherwise(F.array_append(acc, x))
     taken = groups.select("threshold", "image_id", F.explode(F.aggregate("items", none, add)).alias("m"))
     out = taken.select("threshold", "image_id", F.col("m.p").alias("pred_idx"), F.col("m.t").alias("truth_idx"), (-F.col("m.v")).alias("iou"), (-F.col("m.s")).alias("score"))
-    return out.persist()  # every metric starts from it
+    return written(out)  # every metric starts from it
 
 
 def ioa_ignored(predictions: DataFrame, ignored: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def outcomes(predictions: DataFrame, truths: DataFrame, ignored: DataFrame, at=(
     out = every.join(matched, ["threshold", "image_id", "pred_idx"], "left").join(ioa_ignored(predictions, ignored), ["image_id", "pred_idx"])
     excused = (F.col("ioa") >= F.col("threshold")) & (F.col("ioa") > 0) if use_ignored else F.lit(False)
     kind = F.when(F.col("truth_idx").isNotNull(), "tp").when(excused, "ignored").otherwise("fp")
-    return out.select("threshold", "image_id", "pred_idx", "score", kind.alias("outcome"), "truth_idx", "iou").persist()
+    return written(out.select("threshold", "image_id", "pred_idx", "score", kind.alias("outcome"), "truth_idx", "iou"))
 
 
 def image_stats(found: DataFrame, images: DataFrame, truths: DataFrame, at=COCO_THRESHOLDS) -> DataFrame:

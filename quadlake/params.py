@@ -31,7 +31,7 @@ class Params:
     angle_ratio_threshold: float = 1.1
     long_side_tie: float = 0.05
     duplicate_threshold: float = 0.92
-    bootstrap_samples: int = 200
+    bootstrap_samples: int = 2000
     simota_radius: float = 2.5
     simota_top: int = 10
     simota_blocked: float = 1e5

@@ -10,6 +10,7 @@ from ..functions import geometry as g
 from ..operators import annotations as an
 from ..operators.overlap import covered_by, rotated_iou, union_area
 from ..params import PARAMS
+from ..scratch import written
 from .registry import query
 
 GRID = "1073741824"
@@ -29,7 +30,7 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return an.area_filter(truth(spark, sf)).persist()  # most queries start from it
+    return written(an.area_filter(truth(spark, sf)))
 
 
 def truth_polygons(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +40,7 @@ def truth_polygons(spark: SparkSession, sf: str) -> DataFrame:
 
 def pred_polygons(spark: SparkSession, sf: str) -> DataFrame:
     quad = g.box_quad(*[F.col(c) for c in ("cx", "cy", "w", "h", "theta")])
-    return fx(spark, sf, "fx_pred").select("image_id", "pred_idx", "score", quad.alias("q"), "theta").persist()
+    return written(fx(spark, sf, "fx_pred").select("image_id", "pred_idx", "score", quad.alias("q"), "theta"))
 
 
 # SQL of the other engine. tq: a row for each truth with normalised (nx, ny) and pixel (x, y) vertices.

@@ -3,11 +3,5 @@
 from . import boxes, evaluation, tables  # noqa: F401
 from . import registry
 
-#: Written but not yet held against their SQL, so not registered.
-PENDING = frozenset({
-    "detection_counts", "crop_samples", "crop_summary", "contamination_by_scene", "margin_sweep", "contamination_floor",
-    "geometry_diagnostics", "evaluate_report", "bootstrap_ci", "bootstrap_map50",
-})
-
-QUERIES = {k: v for k, v in registry.QUERIES.items() if k not in PENDING}
-ORACLE_SQL = {k: v for k, v in registry.ORACLE_SQL.items() if k not in PENDING}
+QUERIES = registry.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL

@@ -131,7 +131,7 @@ def crop_sql(margins: str, matches: str) -> str:
  c2 AS (SELECT margin, cr.image_id, truth_idx, aq.idx, {', '.join('aq.' + c for c in XY)} FROM cr JOIN aq ON cr.image_id = aq.image_id AND cr.truth_idx <> aq.idx),
  {covered_sql('tg', 'c1', k, 'cov')}, {covered_sql('cr', 'c2', k, 'con')},
  sc AS (SELECT image_id, CASE WHEN count(*) > 1 THEN 'fan' ELSE 'single' END AS scene FROM tq GROUP BY image_id),
- cs AS (SELECT mg.margin, kq.image_id, kq.idx AS truth_idx, cov.covered IS NOT NULL AS detected, coalesce(least(1, cov.covered / cov.area), 0) AS coverage, least(1, con.covered / con.area) AS contamination, scene
+ cs AS (SELECT mg.margin, kq.image_id, kq.idx AS truth_idx, cov.covered IS NOT NULL AS detected, CASE WHEN cov.covered IS NULL THEN 0 ELSE least(1, cov.covered / cov.area) END AS coverage, CASE WHEN con.covered IS NOT NULL THEN least(1, con.covered / con.area) END AS contamination, scene
    FROM kq CROSS JOIN mg JOIN sc ON sc.image_id = kq.image_id LEFT JOIN cov ON cov.margin = mg.margin AND cov.image_id = kq.image_id AND cov.truth_idx = kq.idx
    LEFT JOIN con ON con.margin = mg.margin AND con.image_id = kq.image_id AND con.truth_idx = kq.idx)"""
 
@@ -213,9 +213,9 @@ def evaluate_report(spark, sf):
 
 # Bootstrap. Draw j of a replicate is row md5(rep:j:seed) mod n, so both engines draw the same.
 B = PARAMS.bootstrap_samples
-DRAWS = f"""un AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS at FROM (SELECT DISTINCT image_id FROM {{units}})), nn AS (SELECT count(*) AS n FROM un),
- pk AS (SELECT rep, CAST('0x' || substr(md5(rep || ':' || j || ':{PARAMS.seed}'), 1, 8) AS BIGINT) % n AS at FROM range({B}) a(rep), nn, LATERAL (SELECT unnest(range(n)) AS j)),
- dr AS (SELECT rep, image_id, count(*) AS mult FROM pk JOIN un USING (at) GROUP BY rep, image_id)"""
+DRAWS = f"""un AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS place FROM (SELECT DISTINCT image_id FROM {{units}})), nn AS (SELECT count(*) AS n FROM un),
+ pk AS (SELECT rep, CAST('0x' || substr(md5(rep || ':' || j || ':{PARAMS.seed}'), 1, 8) AS BIGINT) % n AS place FROM range({B}) a(rep), nn, LATERAL (SELECT unnest(range(n)) AS j)),
+ dr AS (SELECT rep, image_id, count(*) AS mult FROM pk JOIN un USING (place) GROUP BY rep, image_id)"""
 
 
 @query(f"""WITH {DRAWS.format(units='fx_stats')}, v AS (SELECT image_id, avg(score) AS value FROM fx_stats GROUP BY image_id), s AS (SELECT rep, sum(mult * value) / sum(mult) AS value FROM dr JOIN v USING (image_id) GROUP BY rep)
