@@ -20,6 +20,7 @@ _SHIFTS = np.array([0, 21, 42], np.uint64)
 _CHECK = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.iinfo(np.int64).min
+_RANGES = 16_384
 
 
 class Words(dict):
@@ -140,10 +141,11 @@ def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None =
 
 def successive(docs: DataFrame, id_col: str, text_col: str, range_rows: int) -> DataFrame:
     """Rows (range, tail, doc_id, text), one range to a task, by descending id; a range ends with tails, copies of the row that
-    follows its last, the first row of all after the last range. Only bounds and largest ids of ranges reach the driver."""
+    follows its last, the first row of all after the last range. Only bounds and largest ids of ranges (at most _RANGES) reach
+    the driver, and only these are broadcast; a range is sorted on disk and streamed, so it may have any size."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LOW)))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
-    parts = max(n_partitions(docs.sparkSession), rows.count() // range_rows)
+    parts = min(_RANGES, max(n_partitions(docs.sparkSession), rows.count() // range_rows))
     cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 50 * parts)).first()[0] or []
     bounds = np.array(sorted(set(cuts)), np.int64)
 
@@ -153,11 +155,8 @@ def successive(docs: DataFrame, id_col: str, text_col: str, range_rows: int) ->
 
     firsts = sorted((r["r"], r["k"]) for r in rows.select("key").withColumn("r", range_of("key")).groupBy("r").agg(F.max("key").alias("k")).collect())
     keyed = rows.withColumn("range", range_of("key")).withColumn("tail", F.lit(False))
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    to = F.lit(None).cast("int")
-    if before:
-        to = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("key"))
-    heads = rows.where(F.col("key").isin(list(before) or [0])).withColumn("range", to).withColumn("tail", F.lit(True))
+    before = docs.sparkSession.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "head long, range int")
+    heads = rows.join(F.broadcast(before), F.col("key") == F.col("head")).drop("head").withColumn("tail", F.lit(True))
     return keyed.unionByName(heads).repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "tail", F.desc("key"), digest(F.col("text"))[0], digest(F.col("text"))[1])
 
 
