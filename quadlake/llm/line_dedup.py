@@ -98,29 +98,32 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Lines are split at \\n; the key is the line without blanks at its ends and with A-Z in lower case; lines with an empty key
     stay. Every row is a document, so repeated rows count as often as they stand there. Null text is one empty line. Columns
-    of docs named n_lines, n_dropped or kept_text are replaced. An empty table gives no rows.
+    of docs named n_lines, n_dropped or kept_text are replaced; other columns may have any name. An empty table gives no rows.
 
     Each document sends a line's 128-bit hash once; the counts combine before they are shuffled, so a line that all documents
     have is one row for each task. The frequent lines come from levelled sorted runs (Runs). Positions of frequent lines are
     found by a join on the hash (split where a line is hot), gathered by document, and meet the text in one join.
     """
     scratch = Scratch(docs.sparkSession, "line_dedup")
+    own = "_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
     full = frequent_lines(docs, scratch, text_col, least, batches)
     text = F.coalesce(F.col(text_col), F.lit(""))
     t1, t2 = digest(text)
     hit = (
-        docs.select(F.col(id_col).alias("_id"), t1.alias("_t1"), t2.alias("_t2"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
-        .withColumn("_line", line_key(F.col("_line")))
-        .where(F.col("_line") != "")
-        .select("_id", "_t1", "_t2", "_pos", *digest(F.col("_line")))
+        docs.select(F.col(id_col).alias(own + "_id"), t1.alias(own + "_t1"), t2.alias(own + "_t2"), F.posexplode(F.split(text, "\n")).alias(own + "_pos", own + "_line"))
+        .withColumn(own + "_line", line_key(F.col(own + "_line")))
+        .where(F.col(own + "_line") != "")
+        .select(own + "_id", own + "_t1", own + "_t2", own + "_pos", *digest(F.col(own + "_line")))
         .join(full, ["h1", "h2"], "left_semi")
-        .groupBy("_id", "_t1", "_t2")
-        .agg(F.collect_set("_pos").alias("_drop"))
+        .groupBy(own + "_id", own + "_t1", own + "_t2")
+        .agg(F.collect_set(own + "_pos").alias(own + "_drop"))
     )
     hit = scratch.write(hit, "hit")
-    base = docs.drop("n_lines", "n_dropped", "kept_text").withColumns({"_u1": t1, "_u2": t2})
-    out = base.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_u1") == F.col("_t1")) & (F.col("_u2") == F.col("_t2")), "left")
+    base = docs.drop("n_lines", "n_dropped", "kept_text").withColumns({own + "_u1": t1, own + "_u2": t2})
+    out = base.join(hit, F.col(id_col).eqNullSafe(F.col(own + "_id")) & (F.col(own + "_u1") == F.col(own + "_t1")) & (F.col(own + "_u2") == F.col(own + "_t2")), "left")
     lines = F.split(text, "\n")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop")))
-    kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "kept_text": kept}).drop("_u1", "_u2", "_id", "_t1", "_t2", "_drop")
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own + "_drop")))
+    kept = F.when(F.col(own + "_drop").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(own + "_drop"), F.lit(0)).cast("long"), "kept_text": kept}).drop(own + "_u1", own + "_u2", own + "_id", own + "_t1", own + "_t2", own + "_drop")
