@@ -39,8 +39,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return upto.withColumn("level", F.min(fits).over(Window.partitionBy())["level"]).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, priority: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row: how often the mix takes it.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, priority: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for every row: how often the mix takes it. With `carry`, also row, a struct
+    of these columns of the same row, so that nobody has to find rows again by id.
 
     Sizes are words. A source's target over its size gives whole copies, which all its documents get, and a rest in words.
     The rest is a Pareto sample: documents are ranked by their random odds over their inclusion odds and taken in that order
@@ -56,7 +57,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     weight = priority if priority is not None else F.lit(1.0)
-    sized = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), weight.cast("double").alias("x"), uniform(F.col(id_col), seed).alias("u")), "sized")
+    sized = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), weight.cast("double").alias("x"), uniform(F.col(id_col), seed).alias("u"), *([F.struct(*carry).alias("row")] if carry else [])), "sized")
 
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("sx"))
     wanted = targets(sizes.drop("sx"), weights, share, most).withColumnRenamed("source", "_s").join(sizes.select("source", "sx"), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
@@ -85,4 +86,4 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     at = F.col("edge_start") + F.coalesce(F.sum("size").over(order), F.lit(0))
     close = ready.where(F.col("bin") == F.col("edge_bin")).withColumn("extra", (2 * at + F.col("size") <= 2 * F.col("rest")).cast("long"))
     copies = F.col("whole") + F.col("extra")
-    return clear.unionByName(close).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return clear.unionByName(close).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))

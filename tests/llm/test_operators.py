@@ -412,3 +412,42 @@ def test_repeated_strings(make, texts, block, monkeypatch):
     want = Counter((d, *w) for (d, _), w in zip(rows, removed_by_force(rows), strict=True))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got) == want
     assert repeated_strings(make([])).count() == 0
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(None if i % 3 == 0 else 7, "same\nown %d" % i if i else None, i, "t", "h") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, __t1 string, h1 string")
+    got = line_dedup(docs, least=10)
+    assert got.columns == ["doc_id", "text", "_id", "__t1", "h1", "n_lines", "n_dropped", "kept_text"]
+    assert {r["_id"]: (r.n_dropped, r.kept_text) for r in got.collect()} == {i: (1, "own %d" % i) if i else (0, "") for i in range(12)}
+
+
+def test_language_sums_do_not_depend_on_the_cache():
+    from quadlake.llm.language_id import Model, Words
+
+    rng = np.random.default_rng(7)
+    model = Model(["a", "b"], rng.normal(size=(32_768, 2)).astype(np.float32), np.zeros(2, np.float32))
+    texts = [" ".join("".join(rng.choice(list("abcde中文é"), 6)) + "." for _ in range(40)) for _ in range(30)]
+    small, large = Words(model, 50), Words(model, 100_000)
+    for t in texts * 2:
+        assert small.sums(t) == pytest.approx(large.sums(t), rel=1e-6, abs=1e-3)
+        assert len(small) <= 50
+
+
+def test_mix_carries_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b c d", "t"), (None, None, None), (None, "x y", "s")], "doc_id long, text string, source string")
+    got = mix(docs, carry=("doc_id", "text", "source")).collect()
+    assert Counter((r.row.doc_id, r.row.text, r.row.source) for r in got) == Counter(map(tuple, docs.collect()))
+    assert all(r.size == len((r.row.text or "").split()) and r.doc_id == r.row.doc_id for r in got)
+
+
+def test_repeated_strings_with_hot_ids_and_a_long_text(spark):
+    """Null and repeated ids, string ids, a text of a megabyte, and texts of one byte over and over."""
+    rng = np.random.default_rng(11)
+    long = "".join(rng.choice(list("abcdefghij "), 1_000_000))
+    rows = [(None, long[k * 1000 : k * 1000 + 300]) for k in range(40)] + [(5, long[500_000:500_200]), (5, long[500_100:500_400]), (9, long), (3, "z" * 500), (8, "z" * 70 + "y" * 60), (7, "z" * 49)]
+    for kind in ("long", "string"):
+        own = [(d if kind == "long" or d is None else f"{d:03d}", x) for d, x in rows]
+        got = repeated_strings(spark.createDataFrame(own, f"doc_id {kind}, text string")).collect()
+        want = Counter((o[0], *w) for o, w in zip(own, removed_by_force(rows), strict=True))
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got) == want
