@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +62,25 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks. It is one thing at a time: Spark uses workers again, and the caches of one step
+    shall not stand beside those of the step before."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, so that what a task makes of one is small."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -13,14 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, n_partitions
+from .common import digest, held, n_partitions
 
 CELLS = 24
 _SHIFTS = np.array([0, 21, 42], np.uint64)
 _CHECK = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.iinfo(np.int64).min
-_RANGES = 16_384
+_RANGES, _LONG = 16_384, 64
 
 
 class Words(dict):
@@ -35,7 +35,13 @@ class Words(dict):
         return h
 
 
-_words = Words()
+def parted(word: str) -> list[str]:
+    """A run without blanks of more than _LONG characters as parts of 16 on average, cut after characters chosen by a hash of the
+    four that end there, so that scripts without blanks and tables with tabs have words too."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = codes[3:] * _ODD + codes[2:-1] * _CHECK + codes[1:-2] * (_ODD ^ _CHECK) + codes[:-3]
+    ends = np.flatnonzero(((h ^ (h >> np.uint64(32))) * _CHECK) >> np.uint64(60) == 0) + 4
+    return [word[a:b] for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(word)], strict=True) if a < b]
 
 
 def paragraphs(text: str) -> np.ndarray:
@@ -46,12 +52,15 @@ def paragraphs(text: str) -> np.ndarray:
     """
     if not text:
         return np.empty(0, np.uint64)
-    if len(_words) >= Words.bound:
-        _words.clear()
+    known = held("fingerprints", Words)
+    if len(known) >= Words.bound:
+        known.clear()
     words = text.replace("\n", " \n ").split(" ")
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    if len(max(words, key=len)) > _LONG:
+        words = [x for w in words for x in (parted(w) if len(w) > _LONG else [w])]
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     ends = (h & np.uint64(3)) == 0
-    ends |= h == np.uint64(_words["\n"])
+    ends |= h == np.uint64(known["\n"])
     ends[-1] = True
     starts = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
     at = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))

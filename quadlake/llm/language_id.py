@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 UNKNOWN = "und"
 _MARKS = ".,!?;:*$%&#|()"
-_workers: dict = {}
-
 
 #: Words of more characters aren't cached; those of more than _BLOCK are counted by numpy, a block at a time.
 _LONG, _BLOCK = 64, 4096
@@ -228,10 +228,7 @@ def language_id(docs: DataFrame, model: Model, *, text_col: str = "text", cache_
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        key = (bid, float(model.bias.sum()), model.temperature)
-        if _workers.get("key") != key:
-            _workers["key"], _workers["words"] = key, Words(model, cache_size)
-        words = _workers["words"]
+        words = held(("language_id", bid, float(model.bias.sum()), model.temperature), lambda: Words(model, cache_size))
         for texts in batches:
             sums = np.array([words.sums(t) if t else np.zeros(words.rows.shape[1]) for t in texts]).reshape(-1, words.rows.shape[1])
             n = sums[:, -1]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, digest
+from .common import Scratch, digest, held, slices
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,9 +27,6 @@ class Words(dict):
         return h
 
 
-_words = Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
@@ -41,9 +38,10 @@ def shingles(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(_words) >= Words.bound:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = held("near_dedup", Words)
+    if len(known) >= Words.bound:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(width, len(h))):
@@ -97,7 +95,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     """doc_id, h1, h2, bands and set (sorted distinct 32-bit shingle hashes) for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, sets = [], []
             for text in batch.column(3).to_pylist():
                 own, counts = shingles(text, width)

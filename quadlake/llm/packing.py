@@ -14,14 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, held, slices
 from .token_counts import Pieces, load
 
 #: Words of these letters stand for themselves in any normal form and in lower case, and are one piece for the pre-tokenizer.
 _SIMPLE = re.compile("[a-zß-öø-ÿ]+")
 #: Rows of prefix sums (three numbers each) that a broadcast may have: some 5 MB.
 _BROADCAST_ROWS = 200_000
-_workers: dict = {}
 
 
 @dataclass
@@ -124,11 +123,10 @@ def pieces(docs: DataFrame, spec: str, size: int, end_id: int, id_col: str, text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = shared.value
-        if _workers.get("spec") != spec:
-            _workers["spec"], _workers["encoded"] = spec, Encoded(load(spec), {"": b""}, cache_size)
-        encoded, task, own = _workers["encoded"], TaskContext.get().partitionId(), Counter()
+        encoded = held(("packing", spec, cache_size), lambda: Encoded(load(spec), {"": b""}, cache_size))
+        task, own = TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             rows: list = []
             for i, ids in enumerate(encoded.ids([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end

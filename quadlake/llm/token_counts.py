@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, slices
+
 #: Three blanks, or two at the end, are where a cut before a blank could change what the pre-tokenizer sees.
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _UNIT = re.compile(r"\s*\S+|\s+")
@@ -162,6 +164,7 @@ def load(spec: str):
     from tokenizers import Tokenizer
 
     if spec not in _workers:
+        _workers.clear()
         _workers[spec] = Tokenizer.from_str(spec)
     return _workers[spec]
 
@@ -196,11 +199,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, names, lengths = shared.value
         tokenizer = load(spec)
-        key = (bid, len(names), hash(tuple(names[:50])))
-        if _workers.get("key") != key:
-            _workers["key"], _workers["counted"] = key, Counted(tokenizer, dict(zip(names, lengths, strict=True)), cache_size)
-        counted = _workers["counted"]
-        for batch in batches:
+        key = ("token_counts", bid, len(names), hash(tuple(names[:50])))
+        counted = held(key, lambda: Counted(tokenizer, dict(zip(names, lengths, strict=True)), cache_size))
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             n = counted.counts([t or "" for t in texts])
             size = [len(t.encode()) if t else 0 for t in texts]

@@ -451,3 +451,10 @@ def test_repeated_strings_with_hot_ids_and_a_long_text(spark):
         got = repeated_strings(spark.createDataFrame(own, f"doc_id {kind}, text string")).collect()
         want = Counter((o[0], *w) for o, w in zip(own, removed_by_force(rows), strict=True))
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got) == want
+
+
+def test_texts_without_blanks_have_paragraphs(make):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 3000))) for _ in range(3)] + ["\t".join(map(str, rng.integers(0, 99, 900)))]
+    got = fingerprints(make(texts)).collect()
+    assert all(r.n_paragraphs > 20 and r.near_edited > 0.3 and r.near_next < 0.2 for r in got)
