@@ -123,3 +123,61 @@ def test_blocks_grow_with_the_rows(spark, monkeypatch):
     got = {(r.a, r.b) for r in duplicates.near_pairs(df, 0.8).collect()}
     assert got == {(i, j) for j in range(90) for i in range(j) if v[i] @ v[j] > 0.8} and len(got) > 50
     assert "10" in str(dealt[0])
+
+
+def test_assignments_are_frozen_and_read_back(spark, tmp_path):
+    from quadlake.operators import records
+
+    rows = [(f"i{k:03d}", ["train", "valid", "test"][k % 3]) for k in range(60)]
+    assigned, root = spark.createDataFrame(rows, "id string, split string"), f"file://{tmp_path}/splits"
+    manifest = records.write_assignment(assigned, root, mode="create")
+    assert manifest["counts"] == {"train": 20, "valid": 20, "test": 20} and manifest["mode"] == "create"
+    assert sorted(map(tuple, records.read_assignment(spark, root).collect())) == rows
+    assert manifest["digest"] == records.assignment_digest(assigned.repartition(5)) != records.assignment_digest(assigned.where("id <> 'i000'"))
+    with pytest.raises(FileExistsError):
+        records.write_assignment(assigned, root)
+    assert records.pool(assigned).count() == 40
+
+
+def test_runs_and_test_accesses_are_recorded(spark, tmp_path):
+    from quadlake.operators import records
+
+    root = f"file://{tmp_path}/runs"
+    path = records.start_run(spark, root, "a", {"epochs": 1})
+    with pytest.raises(FileExistsError):
+        records.start_run(spark, root, "a", {})
+    records.finish_run(spark, path, {"name": "a", "production_ready": True}, {"map50": 0.5})
+    got = labels.discover_runs(spark, root).collect()
+    assert [(r.run, r.name, r.production_ready, r.metrics) for r in got] == [("a", "a", True, '{"map50": 0.5}')]
+    log = f"file://{tmp_path}/log"
+    assert [records.record_test_access(spark, log, "a", "why"), records.evaluate_on_test(spark, log, "a", "again", lambda: got)[0]] == [1, 2]
+    assert sorted(r.reason for r in labels.read_test_accesses(spark.read.text(log)).collect()) == ["again", "why"]
+    with pytest.raises(ValueError):
+        records.record_test_access(spark, log, "a", " ")
+    records.write_comparison(spark.createDataFrame([("a", 0.5)], "run string, map50 double"), ["map50", "run"], f"file://{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").columns == ["map50", "run"]
+
+
+def test_coco_document_is_one_json(spark, tmp_path):
+    import json
+
+    quad = "array(named_struct('x', 0.1D, 'y', 0.1D), named_struct('x', 0.5D, 'y', 0.1D), named_struct('x', 0.5D, 'y', 0.3D), named_struct('x', 0.1D, 'y', 0.3D))"
+    prepared = spark.sql(f"SELECT image_id, CAST(ann_idx AS INT) AS ann_idx, 0 AS class_id, 100 AS out_width, 50 AS out_height, {quad} AS quad_out FROM VALUES (7L, 0), (7L, 1), (5000L, 0) t(image_id, ann_idx)")
+    exports.coco_document(prepared, {0: "note"}).write.text(f"{tmp_path}/coco")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "coco").glob("part-*")))
+    doc = json.loads(text)
+    assert [i["id"] for i in doc["images"]] == [1, 2] and [a["id"] for a in doc["annotations"]] == [1, 2, 3]
+    assert [a["image_id"] for a in doc["annotations"]] == [1, 1, 2] and doc["annotations"][0]["bbox"] == [10.0, 5.0, 40.0, 10.0]
+    assert doc["categories"] == [{"id": 1, "name": "note"}]
+    files = exports.EXPORTERS["coco"](prepared).collect()
+    assert sorted(len(json.loads(r.content)) for r in files) == [1, 2]
+
+
+def test_unknown_classes_are_errors(spark):
+    from quadlake.operators import records
+
+    rows = spark.createDataFrame([("note",), ("coin",)], "class_name string")
+    assert [r.class_id for r in records.class_ids(rows, {0: "note", 1: "coin"}).collect()] == [0, 1]
+    with pytest.raises(Exception, match="unknown class coin"):
+        records.class_ids(rows, {0: "note"}).collect()
+    assert records.match_thresholds()[0] == 0.5 and len(records.match_thresholds()) == 10
