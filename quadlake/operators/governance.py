@@ -46,6 +46,12 @@ def cell(value: Column, half: Column) -> Column:
     return F.when(value.isNull(), "-").when(half.isNull(), F.format_string("%.3f no CI", value)).otherwise(F.format_string("%.3f [%.3f,%.3f]", value, value - half, value + half))
 
 
+def scene_cell(n: Column, p95: Column, threshold: Column) -> Column:
+    """`p95/threshold` of a scene, with a mark where p95 is over it; `-` for a scene without images."""
+    shown = F.concat(F.format_string("%.3f/%.2f", p95, threshold), F.when(p95 > threshold, " !").otherwise(""))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "-").otherwise(shown)
+
+
 def dataset_violations(components: DataFrame) -> DataFrame:
     """component_id, violation: no sources, or ready in spite of a copyleft source."""
     v = F.when(F.size("sources") == 0, "no sources").when(F.col("production_ready") & F.exists("sources", copyleft), "ready with a copyleft source")

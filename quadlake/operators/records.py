@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..params import COCO_THRESHOLDS, PARAMS
 from .exports import write_tree
 
-_PARTS = 4096
-
 
 def stamp(now: datetime | None = None) -> str:
     """A UTC time as in 20260102T030405Z."""
@@ -30,12 +28,13 @@ def write_json(spark: SparkSession, root: str, name: str, value: dict) -> None:
 
 
 def assignment_digest(assigned: DataFrame, key: str = "split") -> str:
-    """SHA-256 that names an assignment whatever the order of its rows. Rows are hashed in 4096 parts by id, each sorted by
-    itself; the digest is over the parts' digests in order, so no task and not the driver needs all ids."""
+    """SHA-256 that names an assignment whatever the order of its rows. Rows are hashed in 4096 parts by the MD5 of their id, each
+    sorted by itself; the digest is over the parts' digests in order, so no task and not the driver needs all ids."""
     row = F.to_json(F.struct("id", F.col(key).alias("to")))
-    parts = assigned.groupBy(F.pmod(F.xxhash64("id"), F.lit(_PARTS)).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("sha"))
-    got = parts.orderBy("part").agg(F.array_sort(F.collect_list(F.struct("part", "sha"))).alias("all"))
-    return got.select(F.sha2(F.to_json("all"), 256)).first()[0]
+    part = F.substring(F.md5(F.col("id").cast("string")), 1, 3)
+    parts = assigned.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("sha"))
+    all_parts = F.array_join(F.array_sort(F.collect_list(F.concat("part", "sha"))), "\n")
+    return parts.agg(F.sha2(all_parts, 256)).first()[0]
 
 
 def write_assignment(assigned: DataFrame, root: str, *, key: str = "split", **notes) -> dict:
@@ -114,6 +113,19 @@ def evaluate_on_test(spark: SparkSession, log: str, run: str, reason: str, evalu
     return number, evaluate()
 
 
+def stamp_text(ts: Column) -> Column:
+    """The stamp of a UTC time in a column."""
+    return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def write_runs(runs: DataFrame, root: str) -> None:
+    """run.json of each run, and metrics.json where `metrics` (a struct) isn't null, below root; a run's folder is its column
+    `name`. Many runs at once, by tasks; start_run and finish_run are for one."""
+    path = lambda f: F.concat("name", F.lit(f"/{f}")).alias("relative_path")
+    record = F.to_json(F.struct(*[c for c in runs.columns if c != "metrics"])).alias("content")
+    write_tree(runs.select(path("run.json"), record).unionByName(runs.where("metrics is not null").select(path("metrics.json"), F.to_json("metrics").alias("content"))), root)
+
+
 def write_comparison(runs: DataFrame, columns: list[str], path: str) -> None:
     """A CSV table of runs with a header and its columns in the given order."""
     runs.select(*columns).write.option("header", True).csv(path)

@@ -48,14 +48,17 @@ def random_split(samples: DataFrame, ratios=PARAMS.ratios, seed: int = PARAMS.se
     return samples.join(placed.select("grp", split.alias("split")), "grp").select("id", "grp", "split")
 
 
-def extend_splits(samples: DataFrame, known: DataFrame, ratios=PARAMS.ratios, seed: int = PARAMS.seed + 1) -> DataFrame:
-    """id, grp, split, how for samples that aren't known: the split of their group if it has one, else a fresh cut.
-    samples: id, grp; known: id, split. Known samples stay where they are."""
+def extend_splits(samples: DataFrame, known: DataFrame, ratios=PARAMS.ratios, seed: int = PARAMS.seed + 1, adopted: DataFrame | None = None) -> DataFrame:
+    """id, grp, split, how for samples that aren't known: the split of their group if it has one, else that of their folder
+    (adopted: id, split), else a fresh cut. samples: id, grp; known: id, split. Known samples stay where they are."""
     new = samples.join(known.select("id"), "id", "left_anti")
     of_group = samples.join(known, "id").groupBy("grp").agg(F.min("split").alias("split"))
-    inherited = new.join(of_group, "grp").select("id", "grp", "split", F.lit("inherited").alias("how"))
-    fresh = random_split(new.join(of_group, "grp", "left_anti"), ratios, seed)
-    return inherited.unionByName(fresh.withColumn("how", F.lit("fresh")))
+    out = new.join(of_group, "grp").select("id", "grp", "split", F.lit("inherited").alias("how"))
+    rest = new.join(of_group, "grp", "left_anti")
+    if adopted is not None:
+        out = out.unionByName(rest.join(adopted.select("id", "split"), "id").select("id", "grp", "split", F.lit("directory").alias("how")))
+        rest = rest.join(adopted.select("id"), "id", "left_anti")
+    return out.unionByName(random_split(rest, ratios, seed).withColumn("how", F.lit("fresh")))
 
 
 def level_folds(histogram: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:

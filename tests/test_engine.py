@@ -181,3 +181,59 @@ def test_unknown_classes_are_errors(spark):
     with pytest.raises(Exception, match="unknown class coin"):
         records.class_ids(rows, {0: "note"}).collect()
     assert records.match_thresholds()[0] == 0.5 and len(records.match_thresholds()) == 10
+
+
+def test_formats_go_through_the_quad(spark):
+    from quadlake.functions.formats import convert
+
+    size = (F.lit(200), F.lit(100))
+    df = spark.createDataFrame([([0.1, 0.2, 0.5, 0.2, 0.5, 0.6, 0.1, 0.6],)], "v array<double>")
+    one = lambda c: df.select(c).first()[0]
+    assert one(convert(F.col("v"), "obb_yolo", "coco", *size)) == pytest.approx([20, 20, 80, 40])
+    assert one(convert(F.col("v"), "obb_yolo", "bbox_yolo")) == pytest.approx([0.3, 0.4, 0.4, 0.4])
+    voc = convert(F.col("v"), "obb_yolo", "voc_xml", *size)
+    assert one(voc) == pytest.approx([60, 40, 80, 40, 0])
+    assert one(convert(voc, "voc_xml", "obb_yolo", *size)) == pytest.approx([0.1, 0.2, 0.5, 0.2, 0.5, 0.6, 0.1, 0.6])
+    with pytest.raises(ValueError, match="size"):
+        convert(F.col("v"), "obb_yolo", "dota")
+    with pytest.raises(ValueError, match="unknown"):
+        convert(F.col("v"), "obb_yolo", "x")
+
+
+def test_canonical_order_gives_indices_and_margin(spark):
+    pts = [(0.5, 0.6), (0.1, 0.6), (0.1, 0.2), (0.5, 0.2)]
+    df = spark.createDataFrame([([dict(x=x, y=y) for x, y in pts],)], "q array<struct<x:double,y:double>>")
+    got = df.select(g.canonical_order(F.col("q"), F.lit(1.0)).alias("o"), g.is_canonical(F.col("q"), F.lit(1.0)).alias("same")).first()
+    assert got.o.order == [2, 3, 0, 1] and got.o.margin == pytest.approx(0.4) and not got.same
+    flat = spark.createDataFrame([([dict(x=x, y=0.5) for x in (0.1, 0.2, 0.3, 0.4)],)], "q array<struct<x:double,y:double>>")
+    with pytest.raises(Exception, match="polar"):
+        flat.select(g.canonical_order(F.col("q"), F.lit(1.0))).collect()
+
+
+def test_documents_are_json(spark, tmp_path):
+    import json
+
+    from quadlake.operators import reports
+
+    groups = spark.createDataFrame([("b", 'x"y'), ("a", "x"), ("c", None)], "id string, grp string")
+    lines = [r.line for r in reports.group_manifest(groups).collect()]
+    assert json.loads("".join(lines)) == {"a": "x", "b": 'x"y', "c": None} and lines[1].startswith('"a"')
+    assert json.loads("".join(r.line for r in reports.group_manifest(groups.where("false")).collect())) == {}
+    assert reports.data_yaml("/d", {0: "note"}).splitlines() == ['path: "/d"', "train: train/images", "val: valid/images", "names:", '  0: "note"']
+    reports.write_image_sets(spark.createDataFrame([("i1", "valid"), ("i2", "train")], "id string, split string"), f"file://{tmp_path}/sets")
+    assert {r.value for r in spark.read.text(f"file://{tmp_path}/sets").collect()} == {"i1", "i2"}
+
+
+def test_exports_are_refused_before_anything_is_written(spark, tmp_path):
+    from quadlake.operators import annotations as an
+
+    boxes = spark.createDataFrame([(1, 0, 0, 60.0, 40.0, 80.0, 40.0, 0.3)], "image_id long, ann_idx int, class_id int, cx double, cy double, w double, h double, theta double")
+    rows = an.area_filter(an.annotate(boxes, spark.createDataFrame([(1, 200, 100)], "image_id long, width int, height int")))
+    root = f"file://{tmp_path}/out"
+    exports.export_tree(rows, "voc_xml", root, "keep", {0: "note"})
+    assert labels.read_voc(spark, f"{root}/Annotations").first().category == "note"
+    with pytest.raises(ValueError, match="clip"):
+        exports.export_tree(rows, "voc_xml", root, "clip", {0: "note"})
+    assert (tmp_path / "out" / "Annotations" / "1.xml").exists()
+    exports.export_tree(rows, "bbox_yolo", root, "clip", {0: "note"})
+    assert not (tmp_path / "out" / "Annotations").exists() and labels.read_bbox_yolo(labels.read_label_files(spark, root)).count() == 1
