@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadlake.llm.common import Scratch, digest
 from quadlake.llm.language_id import fit, language_id
 from quadlake.llm.line_dedup import line_dedup
-from quadlake.llm.mixing import mix
+from quadlake.llm.mixing import by_length, mix
 from quadlake.llm.near_dedup import near_dedup
 from quadlake.llm.packing import pack_documents
 from quadlake.llm.queries import held_out
@@ -46,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix of sources wants it, up to twice; a document that isn't wanted goes. Each row has
     its own number of copies, repeated rows and null ids too. A null source is a source; null texts have no words and come as
     often as their source's whole copies. An empty table stays empty."""
-    taken = mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, carry=tuple(COLUMNS)).where("copies > 0")
+    taken = mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, priority=by_length(F.col("text")), carry=tuple(COLUMNS)).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

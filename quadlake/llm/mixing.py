@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, Scratch
 
-_BINS = 4096
 _BROADCAST_ROWS = 100_000
 
 
@@ -39,51 +41,71 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return upto.withColumn("level", F.min(fits).over(Window.partitionBy())["level"]).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, priority: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def by_length(text: Column) -> Column:
+    """A priority: the binary digits of a text's number of words, so a text with twice the words has one more."""
+    return F.length(F.bin(n_words(text)))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, priority: Column | None = None, carry: tuple[str, ...] = (), few: int = 100_000) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row: how often the mix takes it. With `carry`, also row, a struct
     of these columns of the same row, so that nobody has to find rows again by id.
 
     Sizes are words. A source's target over its size gives whole copies, which all its documents get, and a rest in words.
     The rest is a Pareto sample: documents are ranked by their random odds over their inclusion odds and taken in that order
     until the rest is reached; the document at the edge is taken if that comes nearer. So a source misses its target by at
-    most half of one document. Inclusion odds follow `priority` (a positive column; the same for all if None).
-    Random numbers come from id and seed: reruns agree, and rows with the same id stand together in the order.
+    most half of one document. Inclusion odds are `priority`, a positive column (the same for all if None), times one number a
+    source; as the sample is filled up to its words, that number does not change the order and need not be found.
+    Random numbers come from id and seed: reruns agree. Rows with one id follow each other in the order, by a hash of their text;
+    of rows that are the same in both, any may be taken.
     Null text has no words and is taken in whole copies of 0 words; a null source is a source, the last. An empty table gives
     no rows. Other columns are not read.
 
-    Ranking needs no task with a whole source: words are summed by source and 1/4096 of the ranking, a prefix sum finds the
-    part with the edge, and only that part's documents are ordered one by one.
+    Ranking needs no task with a whole source: words are summed by source and 1/4096 of the ranking, and a prefix sum finds the
+    cell with the edge. A cell of more than `few` rows is cut again, in the end by the hash of the text and by row, so a source
+    whose rows all have one id is no hot task. Only the last cell's documents are ordered one by one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    weight = priority if priority is not None else F.lit(1.0)
-    sized = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), weight.cast("double").alias("x"), uniform(F.col(id_col), seed).alias("u"), *([F.struct(*carry).alias("row")] if carry else [])), "sized")
+    x = (priority if priority is not None else F.lit(1.0)).cast("double")
+    u = uniform(F.col(id_col), seed)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), x.alias("x"), (u / (1 - u) / x).alias("odds"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie"), *([F.struct(*carry).alias("row")] if carry else []))
+    sized = scratch.write(sized.withColumn("tie_row", F.xxhash64(F.monotonically_increasing_id())), "sized")
 
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("sx"))
-    wanted = targets(sizes.drop("sx"), weights, share, most).withColumnRenamed("source", "_s").join(sizes.select("source", "sx"), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("x").alias("scale"))
+    wanted = targets(sizes.drop("scale"), weights, share, most).withColumnRenamed("source", "_s").join(sizes.select("source", "scale"), F.col("_s").eqNullSafe(F.col("source"))).drop("source")
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
-    plan = scratch.write(wanted.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
-
-    def with_plan(plan: DataFrame) -> DataFrame:
-        side = plan.withColumnRenamed("source", "_s")
-        side = F.broadcast(side) if plan.count() <= _BROADCAST_ROWS else side
-        return sized.join(side, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-
-    p = F.least(F.lit(0.999999), F.coalesce(F.try_divide(F.col("rest") * F.col("x"), F.col("sx")), F.lit(0.0)))
-    odds = F.try_divide(F.col("u") / (1 - F.col("u")), p / (1 - p))
-    place = F.coalesce(odds / (1 + odds), F.lit(1.0))
-    binned = with_plan(plan).withColumn("place", place).withColumn("bin", F.floor(F.col("place") * _BINS))
-
-    sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    start = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = sums.withColumn("start", start).where(F.col("start") < F.col("rest")).groupBy("source").agg(F.max(F.struct("bin", "start")).alias("edge"))
-    edge = scratch.write(edge.select(F.col("source").alias("_e"), F.col("edge.bin").alias("edge_bin"), F.col("edge.start").alias("edge_start")), "edge")
-    side = F.broadcast(edge) if edge.count() <= _BROADCAST_ROWS else edge
-    ready = binned.join(side, F.col("source").eqNullSafe(F.col("_e")), "left").withColumn("edge_bin", F.coalesce("edge_bin", F.lit(-1)))
-
-    clear = ready.where(F.col("bin") != F.col("edge_bin")).withColumn("extra", (F.col("bin") < F.col("edge_bin")).cast("long"))
-    order = Window.partitionBy("source").orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("edge_start") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    close = ready.where(F.col("bin") == F.col("edge_bin")).withColumn("extra", (2 * at + F.col("size") <= 2 * F.col("rest")).cast("long"))
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    edge = scratch.write(wanted.withColumn("whole", whole).withColumns({"rest": rest, "start": F.lit(0).cast("long")}), "plan")
+
+    spread = F.col("odds") * F.col("scale")
+    place = spread / (1 + spread)
+    digits = [F.floor(place * 2**12), F.floor(place * 2**24), F.col("odds"), *(F.shiftright("tie", k) for k in (52, 40, 0)), *(F.shiftright("tie_row", k) for k in (52, 40))]
+
+    def with_edge(edge: DataFrame, k: int) -> DataFrame:
+        """All rows, with their first k digits as d0.. and those of their source's edge as e0.. (null if the source has none)."""
+        side = F.broadcast(edge) if edge.count() <= _BROADCAST_ROWS else edge
+        return sized.join(side, F.col("source").eqNullSafe(F.col("_s"))).withColumns({f"d{i}": digits[i] for i in range(k)})
+
+    def in_cell(k: int) -> Column:
+        return reduce(and_, (F.coalesce(F.col(f"d{i}") == F.col(f"e{i}"), F.lit(False)) for i in range(k)), F.lit(True))
+
+    for k in range(len(digits)):
+        inner = with_edge(edge, k + 1).where(in_cell(k))
+        sums = inner.groupBy("_s", f"d{k}").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("rest").alias("rest"), F.first("start").alias("base"))
+        upto = F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy(f"d{k}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        last = sums.withColumn("at", F.col("base") + upto).where(F.col("at") < F.col("rest")).groupBy(F.col("_s").alias("_t")).agg(F.max(F.struct(f"d{k}", "at", "rows")).alias("last"))
+        edge = edge.drop("rows").join(last, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t")
+        edge = edge.withColumns({f"e{k}": F.col(f"last.d{k}"), "start": F.coalesce("last.at", "start"), "rows": F.col("last.rows")}).drop("last")
+        edge = scratch.write(edge, f"edge{k}")
+        if (edge.agg(F.max("rows")).first()[0] or 0) <= few:
+            break
+
+    ready = with_edge(edge, k + 1)
+    own, at_edge = F.struct(*(f"d{i}" for i in range(k + 1))), F.struct(*(f"e{i}" for i in range(k + 1)))
+    close = F.col("e0").isNotNull() & in_cell(k + 1)
+    clear = ready.where(~close).withColumn("extra", F.coalesce(F.col("e0").isNotNull() & (own < at_edge), F.lit(False)).cast("long"))
+    order = Window.partitionBy("source").orderBy("odds", "tie", "tie_row").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    edged = ready.where(close).withColumn("extra", (2 * at + F.col("size") <= 2 * F.col("rest")).cast("long"))
     copies = F.col("whole") + F.col("extra")
-    return clear.unionByName(close).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
+    return clear.unionByName(edged).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))

@@ -9,7 +9,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
 from .language_id import fit, language_id
 from .line_dedup import line_dedup
-from .mixing import mix
+from .mixing import by_length, mix
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .sharding import shard
@@ -74,7 +74,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0).drop("copies")
+    return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0, priority=by_length(F.col("text"))).drop("copies")
 
 
 OP6_SQL = r"""
@@ -91,7 +91,7 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
      t AS (SELECT source, source_size, coalesce(least(cap, v.level * w), cap) AS target FROM f, v),
      p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM t),
      r AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, target - whole * source_size AS rest,
-                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u / (1 - d.u) / length(bin(d.size)), d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
            FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
        CAST((whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r

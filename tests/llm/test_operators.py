@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -15,7 +16,7 @@ from quadlake.llm.exact_dedup import Directory, exact_dedup  # noqa: E402
 from quadlake.llm.fingerprints import Sketch, fingerprints, paragraphs  # noqa: E402
 from quadlake.llm.language_id import fit, language_id  # noqa: E402
 from quadlake.llm.line_dedup import line_dedup  # noqa: E402
-from quadlake.llm.mixing import mix  # noqa: E402
+from quadlake.llm.mixing import by_length, mix, uniform  # noqa: E402
 from quadlake.llm.near_dedup import dart_minhash, near_dedup  # noqa: E402
 from quadlake.llm.packing import pack, pack_documents  # noqa: E402
 from quadlake.llm.sharding import shard  # noqa: E402
@@ -441,6 +442,28 @@ def test_mix_carries_rows(spark):
     assert all(r.size == len((r.row.text or "").split()) and r.doc_id == r.row.doc_id for r in got)
 
 
+def test_mix_cuts_hot_ids(spark):
+    """Sources of one id or of one row over and over meet their targets in any size of cells, and reruns agree."""
+    rows = [(None, "w " * (k % 17), "a") for k in range(300)] + [(7, "x y z", "b")] * 200 + [(k, "v " * (k % 31), None) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [mix(d, priority=by_length(F.col("text")), few=few).collect() for d, few in ((docs, 100_000), (docs.repartition(5), 3))]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1])) and len(runs[0]) == len(rows)
+    taken = defaultdict(int)
+    for r in runs[1]:
+        taken[r.source_size, r.target] += r.taken
+    assert len(taken) == 3 and all(abs(n - target) <= 15 for (_, target), n in taken.items())
+
+
+def test_mix_by_random_odds_over_inclusion_odds(spark):
+    """Without whole copies, the documents with the least random odds over their priority are taken, so high ones come oftener."""
+    docs = spark.createDataFrame([(k, "a b", "s", 1.0 + 9 * (k % 2)) for k in range(4000)], "doc_id long, text string, source string, p double")
+    got = {r.doc_id: r.copies for r in mix(docs, share=0.5, priority=F.col("p")).collect()}
+    u = {r.doc_id: r.u for r in docs.select("doc_id", uniform(F.col("doc_id"), 17).alias("u")).collect()}
+    order = sorted(u, key=lambda k: u[k] / (1 - u[k]) / (1 + 9 * (k % 2)))
+    assert {k for k, n in got.items() if n} == set(order[:2000]) and max(got.values()) == 1
+    assert 3 < sum(got[k] for k in got if k % 2) / sum(got[k] for k in got if not k % 2) < 10
+
+
 def test_repeated_strings_with_hot_ids_and_a_long_text(spark):
     """Null and repeated ids, string ids, a text of a megabyte, and texts of one byte over and over."""
     rng = np.random.default_rng(11)
