@@ -18,7 +18,6 @@ from .common import held, slices
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _UNIT = re.compile(r"\s*\S+|\s+")
 _LONG = 64
-_ORDINARY = 50_000
 _MARKS = ".,!?;:&$*%#"
 _workers: dict = {}
 
@@ -169,30 +168,57 @@ def load(spec: str):
     return _workers[spec]
 
 
-def frequent_units(docs: DataFrame, text_col: str, spec: str, size: int, sample_rows: int) -> tuple[list[str], list[int]]:
-    """The most frequent units of the first `sample_rows` rows of ordinary length that Spark finds, so only a few partitions
-    are read. They make the counting faster and never change a count."""
-    seen: Counter = Counter()
-    for row in docs.select(F.col(text_col).alias("t")).where(F.octet_length("t").between(1, _ORDINARY)).limit(sample_rows).collect():
-        seen.update(u for u in units(row["t"]) if len(u) <= _LONG)
+class Frequent(Counter):
+    """Counts of units, of which at most some `bound` are held: rare ones go when there are more, so that a count is at most
+    1/bound of all units seen too low."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.seen = bound, 0
+
+    def add(self, found: list[str]) -> None:
+        self.update(found)
+        self.seen += len(found)
+        if len(self) > self.bound:
+            least = self.seen // self.bound
+            for unit in [u for u, n in self.items() if n <= least]:
+                del self[unit]
+
+
+def frequent_units(docs: DataFrame, text_col: str, spec: str, size: int) -> tuple[list[str], list[int]]:
+    """The `size` most frequent units of all rows, and their numbers of tokens. A task sends those that are 1/size of its own
+    units or more, so what is shuffled has at most `size` rows a task. Ties go by the unit."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Frequent(8 * size)
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.add(units(text))
+        own = [(u, n) for u, n in seen.items() if n * size >= seen.seen and len(u) <= _LONG]
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["unit", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counted = Counted(load(spec), {}, size)
-    names = [u for u, _ in seen.most_common(size) if not any(s in u for s in counted.specials)]
+    names = [r["unit"] for r in found.orderBy(F.desc("n"), "unit").limit(size).collect()]
+    names = [u for u in names if not any(s in u for s in counted.specials)]
     return names, counted.encoded(names) if names else []
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, table_size: int = 65_536, sample_rows: int = 1_000, cache_size: int = 600_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, table_size: int = 65_536, cache_size: int = 600_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row, counted over the whole text, as the tokenizer file's library does.
 
-    One map over the rows, no shuffle: the tokenizer and the `table_size` most frequent units of `sample_rows` rows are
-    broadcast (bounded by these parameters); a unit outside the table is encoded by the library and kept in the worker, at
-    most `cache_size` of them. The sample decides speed only. tokenizer_path is a byte-level BPE file of the library
-    `tokenizers`; its special strings inside texts are taken as the library does by default.
+    Two maps over the rows. The first finds the `table_size` most frequent units of all rows (see frequent_units), which are
+    broadcast with their numbers of tokens and the tokenizer. The second adds up; a unit outside the table is encoded by the
+    library and kept in the worker, at most `cache_size` of them. No rows and no units of a text are shuffled. tokenizer_path
+    is a byte-level BPE file of the library `tokenizers`; its special strings inside texts are taken as the library does by
+    default. Very long texts are cut into units as a whole, in one worker.
     Null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows each get a row; an empty table gives
     none; other columns are not read.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    names, lengths = frequent_units(docs, text_col, spec, table_size, sample_rows)
+    names, lengths = frequent_units(docs, text_col, spec, table_size)
     shared = docs.sparkSession.sparkContext.broadcast((spec, names, lengths))
     bid = id(shared)
 

@@ -21,7 +21,7 @@ from quadlake.llm.near_dedup import dart_minhash, near_dedup  # noqa: E402
 from quadlake.llm.packing import pack, pack_documents  # noqa: E402
 from quadlake.llm.sharding import shard  # noqa: E402
 from quadlake.llm.suffix_dedup import repeated_strings  # noqa: E402
-from quadlake.llm.token_counts import token_counts, units  # noqa: E402
+from quadlake.llm.token_counts import Frequent, frequent_units, token_counts, units  # noqa: E402
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,13 +32,32 @@ def sha(x):
 
 def test_token_counts(make, texts):
     t = Tokenizer.from_file(BYTE)
-    got = {r.doc_id: r for r in token_counts(make(texts), BYTE, limit=100, sample_rows=10).collect()}
+    got = {r.doc_id: r for r in token_counts(make(texts), BYTE, limit=100, table_size=50).collect()}
     for i, x in enumerate(texts):
         n = len(t.encode(x or "", add_special_tokens=False).ids)
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((x or "").encode()), n, n > 100), x[:80]
     assert token_counts(make([]), BYTE).count() == 0
 
 
+def test_frequent_units_of_all_rows(make):
+    rng = np.random.default_rng(2)
+    words = [f"w{min(999, int(x))}" for x in rng.zipf(1.3, 30_000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + [None, ""]
+    with open(BYTE, encoding="utf-8") as f:
+        spec = f.read()
+    names, lengths = frequent_units(make(texts).repartition(4), "text", spec, 40)
+    n = Counter(u for t in texts if t for u in units(t))
+    t = Tokenizer.from_file(BYTE)
+    assert lengths == [len(t.encode(u, add_special_tokens=False).ids) for u in names]
+    assert {u for u, k in n.items() if k * 25 >= n.total()} <= set(names) <= {u for u, k in n.items() if k * 80 >= n.total()}
+    assert frequent_units(make([]), "text", spec, 40) == ([], [])
+    held = Frequent(100)
+    for i in range(0, len(words), 50):
+        held.add(words[i : i + 50])
+        assert len(held) <= 100
+    assert all(0 <= k - held[u] <= len(words) // 100 * 2 for u, k in Counter(words).items() if k > len(words) // 20)
+
+
 def test_units_are_cut_where_the_pre_tokenizer_cuts(texts):
     t = Tokenizer.from_file(BYTE)
     rng = np.random.default_rng(1)
