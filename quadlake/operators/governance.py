@@ -56,3 +56,25 @@ def dataset_violations(components: DataFrame) -> DataFrame:
     """component_id, violation: no sources, or ready in spite of a copyleft source."""
     v = F.when(F.size("sources") == 0, "no sources").when(F.col("production_ready") & F.exists("sources", copyleft), "ready with a copyleft source")
     return components.select("component_id", v.alias("violation")).where("violation is not null")
+
+
+#: What a dataset is registered with; a run's provenance is all of it but production_ready and notes.
+DATASET_SCHEMA = "name string, root string, license string, production_ready boolean, sources array<string>, origin string, version string, exported string, notes array<string>"
+PROVENANCE = ("name", "origin", "version", "exported", "license", "sources")
+
+
+def register_datasets(known: DataFrame, more: DataFrame) -> DataFrame:
+    """The registry with more datasets. A name that occurs twice is an error."""
+    out = known.unionByName(more)
+    if twice := out.groupBy("name").count().where("count > 1").orderBy("name").limit(10).collect():
+        raise ValueError(f"datasets registered twice: {[r['name'] for r in twice]}")
+    return out
+
+
+def provenance(runs: DataFrame, registry: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Adds to each run the struct `provenance` of its dataset. A dataset that isn't registered is an error of the query that
+    reads it."""
+    side = registry.select(F.col("name").alias("_name"), F.struct(*PROVENANCE).alias("_found"))
+    unknown = F.raise_error(F.concat(F.lit("unknown dataset "), F.coalesce(F.col(dataset), F.lit("null"))))
+    joined = runs.join(side, F.col(dataset) == F.col("_name"), "left")
+    return joined.withColumn("provenance", F.when(F.col("_name").isNotNull(), F.col("_found")).otherwise(unknown)).drop("_name", "_found")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadlake.functions import geometry as g
-from quadlake.operators import exports, splits
+from quadlake.operators import governance, exports, splits
 from quadlake.operators.overlap import covered_by_others, rotated_iou, union_area
 from quadlake.operators.reference_geometry import most_hidden
 from quadlake.params import Params
@@ -89,6 +89,38 @@ def test_label_tree_round_trip(spark, tmp_path):
         labels.strict(parsed)
 
 
+def test_flat_folders(spark, tmp_path):
+    def tree(name, *files):
+        for f in files:
+            at = tmp_path / name / f
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text("")
+        return str(tmp_path / name)
+
+    got = labels.flat_samples(spark, tree("pair", "images/a.JPG", "images/b.png", "labels/a.txt", "labels/b.txt", "readme.txt")).collect()
+    assert {(r.sample_id, r.image_path[-12:], r.label_path[-12:]) for r in got} == {("a", "images/a.JPG", "labels/a.txt"), ("b", "images/b.png", "labels/b.txt")}
+    got = labels.flat_samples(spark, tree("beside", "a.jpg", "a.txt", "deep/er/c.webp", "deep/er/c.txt", "deep/notes.txt")).collect()
+    assert sorted(r.sample_id for r in got) == ["a", "c"] and all(r.image_path.rsplit(".", 1)[0] == r.label_path[:-4] for r in got)
+    bad = [("none", ["x/a.txt"], "no image"), ("twice", ["a.jpg", "a.txt", "x/a.png", "x/a.txt"], "more than once"), ("far", ["a.jpg", "x/a.txt"], "without labels"), ("lone", ["images/a.jpg", "labels/a.txt", "labels/b.txt"], "without image")]
+    for name, files, message in bad:
+        with pytest.raises(ValueError, match=message):
+            labels.flat_samples(spark, tree(name, *files))
+
+
+def test_dataset_registry(spark):
+    row = lambda n: (n, f"/data/{n}", "MIT", True, ["MIT"], "https://example.org", "v1", "2026-01-02", ["a note"])
+    table = lambda *names: spark.createDataFrame([row(n) for n in names], governance.DATASET_SCHEMA)
+    registry = governance.register_datasets(table("a"), table("b"))
+    run = lambda d: spark.createDataFrame([("r", d)], "run string, dataset string")
+    got = governance.provenance(run("b"), registry).first()
+    assert got.provenance.asDict() == {"name": "b", "origin": "https://example.org", "version": "v1", "exported": "2026-01-02", "license": "MIT", "sources": ["MIT"]}
+    with pytest.raises(ValueError, match="twice"):
+        governance.register_datasets(registry, table("a"))
+    for d in ("c", None):
+        with pytest.raises(Exception, match="unknown dataset"):
+            governance.provenance(run(d), registry).collect()
+
+
 def test_test_accesses_count_unreadable_lines(spark):
     df = spark.createDataFrame([('{"utc": "u", "run": "r", "reason": "why"}',), ("{broken",), (" ",)], "value string")
     assert [tuple(r) for r in labels.read_test_accesses(df).collect()] == [("u", "r", "why", True), ("?", "?", "[unreadable line]", False)]
