@@ -169,8 +169,9 @@ def load(spec: str):
 
 
 class Frequent(Counter):
-    """Counts of units, of which at most some `bound` are held: rare ones go when there are more, so that a count is at most
-    1/bound of all units seen too low."""
+    """Counts of units. When there are more than `bound` after a text, those that are 1/bound of all seen so far or less go, so
+    fewer than `bound` stay. A count is then too low by what went; a unit that is much oftener all along never goes, one
+    that comes in clusters may go several times. The table decides speed only, never a token count."""
 
     def __init__(self, bound: int):
         super().__init__()
