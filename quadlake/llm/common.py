@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +64,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def content_key(*parts) -> str:
+    """Names what a worker's cache was made from by its content: ids of objects are used again."""
+    return hashlib.sha256(pickle.dumps(parts, protocol=5)).hexdigest()
+
+
 _held: dict = {}
 
 

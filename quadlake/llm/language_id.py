@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import content_key, held
 
 UNKNOWN = "und"
 _MARKS = ".,!?;:*$%&#|()"
@@ -223,12 +223,12 @@ def language_id(docs: DataFrame, model: Model, *, text_col: str = "text", cache_
     is still the best guess).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    bid = id(shared)
+    key = ("language_id", content_key(model.labels, model.table.tobytes(), model.bias.tobytes(), model.temperature), cache_size)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        words = held(("language_id", bid, float(model.bias.sum()), model.temperature), lambda: Words(model, cache_size))
+        words = held(key, lambda: Words(model, cache_size))
         for texts in batches:
             sums = np.array([words.sums(t) if t else np.zeros(words.rows.shape[1]) for t in texts]).reshape(-1, words.rows.shape[1])
             n = sums[:, -1]

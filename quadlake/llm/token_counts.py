@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, slices
+from .common import content_key, held, slices
 
 #: Three blanks, or two at the end, are where a cut before a blank could change what the pre-tokenizer sees.
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
@@ -52,7 +52,7 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, table: dict, bound: int):
         super().__init__(table)
-        self.tokenizer, self.table, self.bound, self.old = tokenizer, table, bound, {}
+        self.tokenizer, self.table, self.bound, self.old, self.ends = tokenizer, table, bound, {}, {}
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.between, self.mark = next(iter(self.specials.items()))
 
@@ -67,6 +67,18 @@ class Pieces(dict):
         """A piece with the same ids."""
         return piece
 
+    def parts(self, last: str) -> bool:
+        """Whether the library starts a new pre-token between a word's last character and a mark. It does after ASCII letters.
+        Others are normalised first, and may then end in a combining mark, which stays with the mark that follows."""
+        if last.isascii():
+            return last.isalpha()
+        if (known := self.ends.get(last)) is None:
+            library = self.tokenizer
+            normal = library.normalizer.normalize_str(last) if library.normalizer else last
+            cuts = library.pre_tokenizer.pre_tokenize_str(normal + "?") if library.pre_tokenizer else []
+            known = self.ends[last] = last.isalpha() and any(end == len(normal) for _, (_, end) in cuts)
+        return known
+
     def encoded(self, pieces: list[str]) -> list:
         import numpy as np
 
@@ -93,7 +105,7 @@ class Pieces(dict):
                 continue
             base = base_of(piece)
             word = base.rstrip(_MARKS)
-            if len(word) == len(base) or not word or not word[-1].isalpha():
+            if len(word) == len(base) or not word or not self.parts(word[-1]):
                 if base not in self:
                     add(base)
                 if base != piece:
@@ -221,12 +233,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         spec = f.read()
     names, lengths = frequent_units(docs, text_col, spec, table_size)
     shared = docs.sparkSession.sparkContext.broadcast((spec, names, lengths))
-    bid = id(shared)
+    key = ("token_counts", content_key(spec, names, lengths), cache_size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, names, lengths = shared.value
         tokenizer = load(spec)
-        key = ("token_counts", bid, len(names), hash(tuple(names[:50])))
         counted = held(key, lambda: Counted(tokenizer, dict(zip(names, lengths, strict=True)), cache_size))
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on texts with nulls, copies, long texts and odd blanks, and on no rows."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,11 +15,11 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from quadlake.llm.exact_dedup import Directory, exact_dedup  # noqa: E402
 from quadlake.llm.fingerprints import Sketch, fingerprints, paragraphs  # noqa: E402
-from quadlake.llm.language_id import fit, language_id  # noqa: E402
+from quadlake.llm.language_id import Model, fit, language_id  # noqa: E402
 from quadlake.llm.line_dedup import line_dedup  # noqa: E402
 from quadlake.llm.mixing import by_length, mix, uniform  # noqa: E402
 from quadlake.llm.near_dedup import dart_minhash, near_dedup  # noqa: E402
-from quadlake.llm.packing import pack, pack_documents  # noqa: E402
+from quadlake.llm.packing import Encoded, pack, pack_documents  # noqa: E402
 from quadlake.llm.sharding import shard  # noqa: E402
 from quadlake.llm.suffix_dedup import repeated_strings  # noqa: E402
 from quadlake.llm.token_counts import Frequent, frequent_units, token_counts, units  # noqa: E402
@@ -500,3 +501,40 @@ def test_texts_without_blanks_have_paragraphs(make):
     texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 3000))) for _ in range(3)] + ["\t".join(map(str, rng.integers(0, 99, 900)))]
     got = fingerprints(make(texts)).collect()
     assert all(r.n_paragraphs > 20 and r.near_edited > 0.3 and r.near_next < 0.2 for r in got)
+
+
+def test_two_tokenizer_files_in_one_session(make, texts, tmp_path):
+    """Workers are used again: what they keep of one file must not answer for another."""
+    docs, other = make(texts), tmp_path / "letters.json"
+    with open(BYTE, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][:20]
+    other.write_text(json.dumps(spec))
+    want = {f: sorted(len(Tokenizer.from_file(f).encode(t or "", add_special_tokens=False).ids) for t in texts) for f in (BYTE, str(other))}
+    assert want[BYTE] != want[str(other)]
+    for _ in range(3):
+        for f in want:
+            assert sorted(r["n_tokens"] for r in token_counts(docs, f).collect()) == want[f]
+
+
+def test_two_language_models_in_one_session(make):
+    one, two = (Model(["a", "b"], np.full((64, 2), x, np.float32), np.array([x, -x], np.float32) * 0) for x in (1.0, 2.0))
+    one.table[:, 0] += 5
+    two.table[:, 1] += 5
+    docs = make(["some words here", "and others"])
+    for _ in range(3):
+        for model, best in ((one, "a"), (two, "b")):
+            assert [r["p"]["lang_pred"] for r in docs.select(language_id(docs, model).alias("p")).collect()] == [best, best]
+
+
+def test_every_letter_before_every_mark():
+    """A letter whose normal form ends in a combining mark is not parted from the mark that follows."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = Encoded(library, {"": b""}, 100_000)
+    letters = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    wrong = []
+    for i in range(0, len(letters), 50):
+        text = " ".join(f"a{c}{m}" for c in letters[i : i + 50] for m in ".,!?;:&$*%#")
+        if next(encoded.ids([text])) != np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+            wrong.append(letters[i])
+    assert not wrong
