@@ -113,3 +113,12 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: list[Col
     on = [c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
     out = own.join(shifts, [*on, F.col("_part") == F.col("_p")])
     return out.withColumn(rank, F.col("_shift") + F.col("_own")).drop("_part", "_p", "_own", "_shift", *[f"_k{i}" for i in range(len(by))])
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """rows joined with `one`, a table with one row a key whose column n says how many of rows have the key. Keys with more than
+    1/share of the rows are fewer than `share`: those are broadcast, and the others joined by a shuffle without a hot key.
+    Keys are not null."""
+    most = rows.count() // share
+    hot = F.broadcast(one.where(F.col(n) > most))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(one.where(F.col(n) <= most).hint("merge"), keys))

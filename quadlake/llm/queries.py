@@ -13,6 +13,7 @@ from .mixing import by_length, mix
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .sharding import shard
+from .simhash import simhash_dedup
 from .suffix_dedup import repeated_strings
 from .token_counts import token_counts
 
@@ -117,6 +118,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(documents(spark, sf_dir), width=4, distance=4)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -128,5 +133,6 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
