@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
 from .language_id import fit, language_id
+from .lexical_search import lexical_search
 from .line_dedup import line_dedup
 from .mixing import by_length, mix
 from .near_dedup import near_dedup
@@ -118,6 +119,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+    return found.select(F.col("query").alias("item_id"), "rank", "doc_id", "score")
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+     s AS (SELECT CAST(count(*) FILTER (WHERE len(ts) > 0) AS BIGINT) AS nd, CAST(sum(len(ts)) AS BIGINT) AS nt FROM d),
+     q AS (SELECT b, item_id, unnest(list_distinct(ts)) AS term FROM (SELECT row_number() OVER () AS b, item_id, {_TERMS} AS ts FROM benchmark)),
+     p AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+     f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+     w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, nd),
+     c AS (SELECT b, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt)))) AS BIGINT) AS score
+           FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY b, item_id, r, doc_id),
+     k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir), width=4, distance=4)
 
@@ -133,6 +154,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op13_simhash_dedup": op13_simhash_dedup,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op11_lexical_search": OP11_SQL}
