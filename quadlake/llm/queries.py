@@ -15,6 +15,7 @@ from .near_dedup import near_dedup
 from .packing import pack_documents
 from .sharding import shard
 from .simhash import simhash_dedup
+from .source_audit import source_audit
 from .suffix_dedup import repeated_strings
 from .token_counts import token_counts
 
@@ -139,6 +140,32 @@ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
 """
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(documents(spark, sf_dir), least=30, top=50)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+     t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+     k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+     c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+     v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+     s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+     g AS (SELECT d.lang, d.source, coalesce(s.total, 0) AS total, coalesce(v.v, 0) AS v
+           FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN s USING (lang, source) LEFT JOIN v USING (lang)),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS BIGINT) AS p
+           FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+     l AS (SELECT lang, term, CAST(1 + (1000000000 * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q FROM c GROUP BY lang, term),
+     f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source),
+     x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+           UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+     y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir), width=4, distance=4)
 
@@ -155,6 +182,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_source_audit": op12_source_audit,
     "op13_simhash_dedup": op13_simhash_dedup,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op11_lexical_search": OP11_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op11_lexical_search": OP11_SQL, "op12_source_audit": OP12_SQL}
