@@ -24,6 +24,10 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
 
 
+def in_slice(terms: Column, part: int, slices: int) -> Column:
+    return F.filter(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == part)
+
+
 def probability(n: str, total: str, kept: str) -> Column:
     """1 + floor(10^9 (n + 5) / (total + 5 kept)) in exact integers; 0 where no term is kept."""
     p = F.expr(f"1 + cast(1000000000 as decimal(10, 0)) * cast({n} + 5 as decimal(20, 0)) div cast(nullif({total} + 5 * {kept}, 0) as decimal(20, 0))")
@@ -82,7 +86,7 @@ def kept_terms(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str,
         for part in range(slices):
             own = tokens.where(F.col("code") == code).select("source", "terms")
             if slices > 1:
-                own = own.withColumn("terms", F.filter("terms", lambda t, part=part, slices=slices: F.pmod(F.xxhash64(t), F.lit(slices)) == part))
+                own = own.withColumn("terms", in_slice(F.col("terms"), part, slices))
             try:
                 model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=_ALL).fit(own)
             except IllegalArgumentException as e:
