@@ -1,4 +1,5 @@
-"""Oriented boxes derived from the driver's tables by integer arithmetic. The same SQL runs in Spark and in DuckDB."""
+"""Oriented boxes derived from the driver's tables by integer arithmetic. The same SQL runs in Spark and in DuckDB: numbers are
+doubles (1.5e0), as the engines turn decimals (1.5) into different doubles."""
 
 from __future__ import annotations
 
@@ -15,25 +16,32 @@ VIEWS = {
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS ann_idx
        FROM lineitem""",
     "fx_box": """SELECT k.image_id, CAST(ann_idx AS INT) AS ann_idx, 0 AS class_id,
-       CAST((0.35 + 0.30 * ((pk * 37 + ann_idx * 211) % 1000) / 1000.0 + CASE WHEN k.image_id % 7 = 0 THEN 0.25 ELSE 0 END) * width AS DOUBLE) AS cx,
-       CAST((0.35 + 0.30 * ((sk * 53 + ann_idx * 577 + k.image_id * 3) % 1000) / 1000.0) * height AS DOUBLE) AS cy,
-       CAST((0.12 + 0.28 * (qty / 50.0)) * height AS DOUBLE) AS w,
-       CAST((0.12 + 0.28 * (qty / 50.0)) * height / (1.02 + ((pk + ann_idx) % 31) / 10.0) AS DOUBLE) AS h,
-       CAST(3.141592653589793 * ((k.image_id * 7 + ann_idx * 31) % 180) / 180.0 AS DOUBLE) AS theta,
+       CAST((0.35e0 + 0.30e0 * ((pk * 37 + ann_idx * 211) % 1000) / 1000.0e0 + CASE WHEN k.image_id % 7 = 0 THEN 0.25e0 ELSE 0 END) * width AS DOUBLE) AS cx,
+       CAST((0.35e0 + 0.30e0 * ((sk * 53 + ann_idx * 577 + k.image_id * 3) % 1000) / 1000.0e0) * height AS DOUBLE) AS cy,
+       CAST((0.12e0 + 0.28e0 * (qty / 50.0e0)) * height AS DOUBLE) AS w,
+       CAST((0.12e0 + 0.28e0 * (qty / 50.0e0)) * height / (1.02e0 + ((pk + ann_idx) % 31) / 10.0e0) AS DOUBLE) AS h,
+       CAST(3.141592653589793e0 * ((k.image_id * 7 + ann_idx * 31) % 180) / 180.0e0 AS DOUBLE) AS theta,
        (pk * 13 + ann_idx) % 10 AS kind, (pk + 3 * ann_idx) % 11 - 5 AS jx, (sk + 5 * ann_idx) % 11 - 5 AS jy,
-       CAST(((pk * 7919 + sk * 104729 + ann_idx * 31) % 1000) / 1000.0 AS DOUBLE) AS score
+       CAST(((pk * 7919 + sk * 104729 + ann_idx * 31) % 1000) / 1000.0e0 AS DOUBLE) AS score
        FROM fx_keys k JOIN fx_images i ON k.image_id = i.image_id""",
     "fx_truth": "SELECT image_id, ann_idx, class_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, w, h, CAST(theta AS DOUBLE) AS theta FROM fx_box",
-    "fx_pred": """SELECT image_id, ann_idx AS pred_idx, 0 AS class_id, CAST(cx + jx * 0.06 * h AS DOUBLE) AS cx, CAST(cy + jy * 0.06 * h AS DOUBLE) AS cy,
-       w, h, CAST(theta + jx * 0.02 AS DOUBLE) AS theta, CAST(score AS DOUBLE) AS score FROM fx_box WHERE kind > 0
+    "fx_pred": """SELECT image_id, ann_idx AS pred_idx, 0 AS class_id, CAST(cx + jx * 0.06e0 * h AS DOUBLE) AS cx, CAST(cy + jy * 0.06e0 * h AS DOUBLE) AS cy,
+       w, h, CAST(theta + jx * 0.02e0 AS DOUBLE) AS theta, CAST(score AS DOUBLE) AS score FROM fx_box WHERE kind > 0
        UNION ALL
-       SELECT image_id, ann_idx + 100 AS pred_idx, 0, CAST(cx AS DOUBLE), CAST(cy * 0.4 AS DOUBLE), w, h, CAST(theta + 0.7 AS DOUBLE), CAST(score * 0.3 AS DOUBLE)
+       SELECT image_id, ann_idx + 100 AS pred_idx, 0, CAST(cx AS DOUBLE), CAST(cy * 0.4e0 AS DOUBLE), w, h, CAST(theta + 0.7e0 AS DOUBLE), CAST(score * 0.3e0 AS DOUBLE)
        FROM fx_box WHERE kind IN (3, 7)""",
+    "fx_quads": """SELECT image_id, ann_idx AS idx, (image_id + ann_idx) % 4 AS shape, ann_idx % 4 AS hollow, """
+    + ", ".join(
+        f"cx + f{i} * ({a} * w / 2 * cos(theta) - {b} * h / 2 * sin(theta)) AS x{i}, cy + f{i} * ({a} * w / 2 * sin(theta) + {b} * h / 2 * cos(theta)) AS y{i}" for i, (a, b) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))
+    )
+    + " FROM (SELECT *, "
+    + ", ".join(f"CASE WHEN (image_id + ann_idx) % 2 = 1 AND ann_idx % 4 = {i} THEN -0.3e0 ELSE 1e0 END AS f{i}" for i in range(4))
+    + " FROM fx_truth)",
     "fx_stats": """SELECT d.doc_id AS image_id, CAST((d.n_chars % 1000) / 1000.0 AS DOUBLE) AS score, l.quality AS hit
        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "fx_cells": """SELECT image_id, ann_idx AS cell_idx, CAST(8 * (1 + ann_idx % 3) AS INT) AS stride, CAST(cx AS DOUBLE) AS center_x, CAST(cy AS DOUBLE) AS center_y,
-       w * 0.45 AS l, h * 0.55 AS t, w * 0.55 AS r, h * 0.45 AS b, sin(2 * CAST(theta AS DOUBLE)) AS sin2, cos(2 * CAST(theta AS DOUBLE)) AS cos2,
-       CAST(6 * score - 3 AS DOUBLE) AS obj_logit, CAST(4 - kind * 0.5 AS DOUBLE) AS cls_logit FROM fx_box""",
+       w * 0.45e0 AS l, h * 0.55e0 AS t, w * 0.55e0 AS r, h * 0.45e0 AS b, sin(2 * CAST(theta AS DOUBLE)) AS sin2, cos(2 * CAST(theta AS DOUBLE)) AS cos2,
+       CAST(6 * score - 3 AS DOUBLE) AS obj_logit, CAST(4 - kind * 0.5e0 AS DOUBLE) AS cls_logit FROM fx_box""",
     "fx_components": """SELECT s_suppkey AS component_id, s_name AS name,
        CASE s_suppkey % 5 WHEN 0 THEN 'AGPL-3.0' WHEN 1 THEN 'Apache-2.0' WHEN 2 THEN 'MIT' WHEN 3 THEN 'CC-BY-4.0' ELSE 'GPL-3.0' END AS license,
        s_suppkey % 4 <> 0 AS production_ready, CASE WHEN s_suppkey % 7 = 0 THEN 'SSPL-1.0' ELSE 'CC-BY-4.0' END AS source_license FROM supplier""",

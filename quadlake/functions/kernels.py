@@ -17,7 +17,8 @@ EPS = 1e-9
 
 
 def clip(px, py, qx, qy, ox, oy, own):
-    """Parameters (t0, t1) of the part of edges p -> q inside convex clockwise quads; t1 is -1 where there is none.
+    """Parameters (t0, t1) of the part of edges p -> q inside convex clockwise quads; t1 is -1 where there is none. A vertex may
+    stand twice: a triangle's side without length bounds nothing.
 
     ox, oy: four arrays. Distances of at most EPS count as on a side's line. An edge along a side is kept where `own` and both
     run the same way.
@@ -26,7 +27,9 @@ def clip(px, py, qx, qy, ox, oy, own):
     for k in range(4):
         ax, ay, dx, dy = ox[k], oy[k], ox[(k + 1) % 4] - ox[k], oy[(k + 1) % 4] - oy[k]
         n = np.hypot(dx, dy)
-        d0, d1 = (dx * (py - ay) - dy * (px - ax)) / n, (dx * (qy - ay) - dy * (qx - ax)) / n
+        point = n == 0
+        n = np.where(point, 1, n)
+        d0, d1 = (dx * (py - ay) - dy * (px - ax)) / n + point, (dx * (qy - ay) - dy * (qx - ax)) / n + point
         d0, d1 = np.where(np.abs(d0) <= EPS, 0, d0), np.where(np.abs(d1) <= EPS, 0, d1)
         along = own & (dx * (qx - px) + dy * (qy - py) > 0)
         out |= (d0 <= 0) & (d1 <= 0) & ~((d0 == 0) & (d1 == 0) & along)
@@ -40,17 +43,42 @@ def _columns(q: Column) -> list[Column]:
     return [F.get(q, F.lit(i))[c] for c in "xy" for i in range(4)]
 
 
-@F.pandas_udf(T.DoubleType())
-def _intersection(*cols: pd.Series) -> pd.Series:
-    v = [c.to_numpy() for c in cols]
-    ax, ay, bx, by = v[:4], v[4:8], v[8:12], v[12:16]
-    total = np.zeros(len(v[0]))
+def convex_overlap(ax, ay, bx, by):
+    """The shared areas of convex clockwise quads; each argument has four rows, one a vertex."""
+    total = np.zeros(ax.shape[1])
     for mx, my, ox, oy, own in ((ax, ay, bx, by, True), (bx, by, ax, ay, False)):
         for i in range(4):
             j = (i + 1) % 4
             t0, t1 = clip(mx[i], my[i], mx[j], my[j], ox, oy, own)
             total += np.maximum(0, t1 - t0) * (mx[i] * my[j] - mx[j] * my[i]) / 2
-    return pd.Series(total)
+    return total
+
+
+def triangles(x, y):
+    """Cuts clockwise quads at the diagonal from the vertex that turns most to the left: (x, y) of two triangles, each with its last
+    vertex twice; and whether that vertex is reflex."""
+    back, on = (x - np.roll(x, 1, 0), y - np.roll(y, 1, 0)), (np.roll(x, -1, 0) - x, np.roll(y, -1, 0) - y)
+    turn = back[0] * on[1] - back[1] * on[0]
+    first, at = turn.argmin(axis=0), np.arange(x.shape[1])
+    pick = lambda *steps: tuple(v[(first + np.array(steps)[:, None]) % 4, at] for v in (x, y))
+    return pick(0, 1, 2, 2), pick(0, 2, 3, 3), turn.min(axis=0) < 0
+
+
+def overlap(ax, ay, bx, by):
+    """The shared areas of simple clockwise quads. Where one is concave, the sum over the triangles of both, which don't overlap."""
+    out = convex_overlap(ax, ay, bx, by)
+    *a, hollow_a = triangles(ax, ay)
+    *b, hollow_b = triangles(bx, by)
+    some = hollow_a | hollow_b
+    if some.any():
+        out[some] = sum(convex_overlap(*(v[:, some] for v in (*s, *t))) for s in a for t in b)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def _intersection(*cols: pd.Series) -> pd.Series:
+    v = np.stack([c.to_numpy(dtype=float) for c in cols])
+    return pd.Series(overlap(v[:4], v[4:8], v[8:12], v[12:16]))
 
 
 @F.pandas_udf(T.StructType([T.StructField("t0", T.DoubleType()), T.StructField("t1", T.DoubleType())]))
@@ -61,10 +89,10 @@ def _interval(own: pd.Series, *cols: pd.Series) -> pd.DataFrame:
 
 
 def intersection(a: Column, b: Column) -> Column:
-    """The area that two convex clockwise quads share."""
+    """The area that two simple clockwise quads (see geometry.polygon) share."""
     return _intersection(*_columns(a), *_columns(b))
 
 
 def interval(p0: tuple[Column, Column], p1: tuple[Column, Column], other: Column, own: Column) -> Column:
-    """struct(t0, t1): the part of an edge inside a quad."""
+    """struct(t0, t1): the part of an edge inside a convex clockwise quad."""
     return _interval(own, *p0, *p1, *_columns(other))

@@ -64,8 +64,8 @@ def visibility(kept: DataFrame, threshold: float = PARAMS.visibility_threshold)
 def dominant(polygons: DataFrame) -> DataFrame:
     """For each polygon the one that covers most of it; the first on ties."""
     pairs = intersections(polygons.withColumnRenamed("idx", "a_idx").withColumnRenamed("q", "qa"), polygons.withColumnRenamed("idx", "b_idx").withColumnRenamed("q", "qb"), ["image_id"], F.col("a_idx") != F.col("b_idx"))
-    share = pairs.where("inter > 0").withColumn("fraction", F.round(F.col("inter") / F.col("area_a"), 9))
-    best = share.groupBy("image_id", F.col("a_idx").alias("idx")).agg(F.max(F.struct("fraction", -F.col("b_idx"), "b_idx")).alias("m"))
+    share = pairs.where("inter > 0").withColumn("fraction", F.col("inter") / F.col("area_a"))
+    best = share.groupBy("image_id", F.col("a_idx").alias("idx")).agg(F.max(F.struct(F.round("fraction", 9), -F.col("b_idx"), "b_idx", "fraction")).alias("m"))
     return best.select("image_id", "idx", F.col("m.b_idx").alias("dominant_idx"), F.col("m.fraction").alias("dominant_fraction"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 from ..params import COPYLEFT
 
 
@@ -43,12 +44,12 @@ def verdicts(runs: DataFrame, components: DataFrame) -> DataFrame:
 
 def cell(value: Column, half: Column) -> Column:
     """`v [lo,hi]`, or `v no CI` without an interval."""
-    return F.when(value.isNull(), "-").when(half.isNull(), F.format_string("%.3f no CI", value)).otherwise(F.format_string("%.3f [%.3f,%.3f]", value, value - half, value + half))
+    return F.when(value.isNull(), "-").when(half.isNull(), F.concat(fixed(value, 3), F.lit(" no CI"))).otherwise(F.concat(fixed(value, 3), F.lit(" ["), fixed(value - half, 3), F.lit(","), fixed(value + half, 3), F.lit("]")))
 
 
 def scene_cell(n: Column, p95: Column, threshold: Column) -> Column:
     """`p95/threshold` of a scene, with a mark where p95 is over it; `-` for a scene without images."""
-    shown = F.concat(F.format_string("%.3f/%.2f", p95, threshold), F.when(p95 > threshold, " !").otherwise(""))
+    shown = F.concat(fixed(p95, 3), F.lit("/"), fixed(threshold, 2), F.when(p95 > threshold, " !").otherwise(""))
     return F.when(F.coalesce(n, F.lit(0)) == 0, "-").otherwise(shown)
 
 

@@ -15,11 +15,12 @@ def thresholds(values) -> Column:
 
 
 def pair_ious(predictions: DataFrame, truths: DataFrame) -> DataFrame:
-    """image_id, pred_idx, truth_idx, iou (9 digits) of overlapping pairs. predictions: pred_idx, q; truths: truth_idx, q."""
+    """image_id, pred_idx, truth_idx, iou, level of overlapping pairs; level is the IoU to 9 digits, for comparisons only.
+    predictions: pred_idx, q; truths: truth_idx, q."""
     a = predictions.select("image_id", F.col("pred_idx").alias("a_idx"), F.col("q").alias("qa"))
     b = truths.select("image_id", F.col("truth_idx").alias("b_idx"), F.col("q").alias("qb"))
     out = rotated_iou(a, b, ["image_id"]).where("inter > 0")
-    return written(out.select("image_id", F.col("a_idx").alias("pred_idx"), F.col("b_idx").alias("truth_idx"), F.round("iou", 9).alias("iou")))
+    return written(out.select("image_id", F.col("a_idx").alias("pred_idx"), F.col("b_idx").alias("truth_idx"), "iou", F.round("iou", 9).alias("level")))
 
 
 def greedy_match(predictions: DataFrame, truths: DataFrame, at=(PARAMS.match_iou,)) -> DataFrame:
@@ -30,14 +31,14 @@ def greedy_match(predictions: DataFrame, truths: DataFrame, at=(PARAMS.match_iou
     a pair matches if both of its ends are free.
     """
     low = min(at)
-    pairs = pair_ious(predictions, truths).where(F.col("iou") >= low).join(predictions.select("image_id", "pred_idx", "score"), ["image_id", "pred_idx"])
-    per = pairs.select(thresholds(at), "*").where("iou >= threshold")
-    item = F.struct((-F.col("score")).alias("s"), F.col("pred_idx").alias("p"), (-F.col("iou")).alias("v"), F.col("truth_idx").alias("t"))
+    pairs = pair_ious(predictions, truths).where(F.col("level") >= low).join(predictions.select("image_id", "pred_idx", "score"), ["image_id", "pred_idx"])
+    per = pairs.select(thresholds(at), "*").where("level >= threshold")
+    item = F.struct((-F.col("score")).alias("s"), F.col("pred_idx").alias("p"), (-F.col("level")).alias("v"), F.col("truth_idx").alias("t"), "iou")
     groups = per.groupBy("threshold", "image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
     add = lambda acc, x: F.when(F.exists(acc, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"])), acc).otherwise(F.array_append(acc, x))
     taken = groups.select("threshold", "image_id", F.explode(F.aggregate("items", none, add)).alias("m"))
-    out = taken.select("threshold", "image_id", F.col("m.p").alias("pred_idx"), F.col("m.t").alias("truth_idx"), (-F.col("m.v")).alias("iou"), (-F.col("m.s")).alias("score"))
+    out = taken.select("threshold", "image_id", F.col("m.p").alias("pred_idx"), F.col("m.t").alias("truth_idx"), "m.iou", (-F.col("m.s")).alias("score"))
     return written(out)  # every metric starts from it
 
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 
 def document(items: DataFrame, order: list[Column], opening: Column | str, closing: str, head: DataFrame | None = None) -> DataFrame:
     """The lines of one JSON document, in order: an opening, the items (column `item`) and a closing.
@@ -26,7 +28,7 @@ def document(items: DataFrame, order: list[Column], opening: Column | str, closi
 
 def number(c: Column) -> Column:
     """A number with six decimals, as JSON text."""
-    return F.format_string("%.6f", c)
+    return fixed(c, 6)
 
 
 def text(c: Column) -> Column:

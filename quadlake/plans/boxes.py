@@ -401,15 +401,15 @@ def overlap_components_query(spark, sf):
     return an.overlap_components(kept_polygons(spark, sf))
 
 
-@query(f"""WITH {TQ}, {KEPT}, {SELF}, f AS (SELECT image_id, a_idx, b_idx, round(inter / area_a, 9) AS fraction FROM sf0 WHERE inter > 0)
- SELECT image_id, a_idx AS idx, arg_min(b_idx, (-fraction, b_idx)) AS dominant_idx, round(max(fraction), 6) AS dominant_fraction FROM f GROUP BY image_id, a_idx""")
+@query(f"""WITH {TQ}, {KEPT}, {SELF}, f AS (SELECT image_id, a_idx, b_idx, inter / area_a AS fraction FROM sf0 WHERE inter > 0)
+ SELECT image_id, a_idx AS idx, arg_min(b_idx, (-round(fraction, 9), b_idx)) AS dominant_idx, round(arg_min(fraction, (-round(fraction, 9), b_idx)), 6) AS dominant_fraction FROM f GROUP BY image_id, a_idx""")
 def dominant_occluder(spark, sf):
     return an.dominant(kept_polygons(spark, sf)).withColumn("dominant_fraction", r("dominant_fraction"))
 
 
 _VC = f"vt AS (SELECT image_id, idx AS target, {', '.join(XY)} FROM kq), vc AS (SELECT a.image_id, a.idx AS target, b.idx, {', '.join('b.' + c for c in XY)} FROM kq a JOIN kq b ON a.image_id = b.image_id AND a.idx <> b.idx)"
 FOUND = f"""{TQ}, {KEPT}, {_VC}, {covered_sql('vt', 'vc', 'image_id, target', 'vis')}, {SELF},
- dom AS (SELECT image_id, a_idx AS target, arg_min(b_idx, (-round(inter / area_a, 9), b_idx)) AS dominant_idx, max(round(inter / area_a, 9)) AS dominant_fraction FROM sf0 WHERE inter > 0 GROUP BY image_id, a_idx),
+ dom AS (SELECT image_id, a_idx AS target, arg_min(b_idx, (-round(inter / area_a, 9), b_idx)) AS dominant_idx, arg_min(inter / area_a, (-round(inter / area_a, 9), b_idx)) AS dominant_fraction FROM sf0 WHERE inter > 0 GROUP BY image_id, a_idx),
  found AS (SELECT image_id, target AS ann_idx, greatest(0, 1 - covered / area) AS visible_fraction, dominant_idx, dominant_fraction FROM vis LEFT JOIN dom USING (image_id, target) WHERE round(greatest(0, 1 - covered / area), 9) < 0.25)"""
 
 
@@ -439,3 +439,36 @@ def worst_findings(spark, sf):
 def violation_bound(spark, sf):
     kept = filtered(spark, sf).where("kept")
     return an.violation_bound(kept_polygons(spark, sf), an.visibility(kept))
+
+
+# Quads of any shape: fx_quads has boxes of which one vertex is pulled over the centre (odd shapes); shapes 2 and 3 are read the
+# other way round. The other engine adds triangles, cut at the vertex that it knows was pulled; a triangle has a fourth vertex on a side.
+def _triangle(k: int) -> str:
+    at = lambda c, i: f"[{c}0, {c}1, {c}2, {c}3][(hollow + {i}) % 4 + 1]"
+    a, b, c = (0, 1, 2) if k == 0 else (0, 2, 3)
+    return "SELECT image_id, 2 * idx + {0} AS idx, {1} FROM fx_quads".format(k, ", ".join(f"{at(v, a)} AS {v}0, {at(v, b)} AS {v}1, ({at(v, b)} + {at(v, c)}) / 2 AS {v}2, {at(v, c)} AS {v}3" for v in "xy"))
+
+
+TRI = f"tri AS ({_triangle(0)} UNION ALL {_triangle(1)})"
+_TT = inter_sql("tri", "tri", "a.image_id, a.idx AS a_t, b.idx AS b_t", "a.image_id = b.image_id AND a.idx // 2 < b.idx // 2", "tt")
+
+
+def any_quads(spark, sf) -> DataFrame:
+    """image_id, idx, q: convex and concave quads, both ways round."""
+    t = fx(spark, sf, "fx_quads")
+    at = [g.point(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
+    return t.select("image_id", "idx", F.when(F.col("shape") >= 2, F.array(*at[::-1])).otherwise(F.array(*at)).alias("q"))
+
+
+@query(f"""WITH {TRI}, {_TT}, ar AS (SELECT image_id, idx // 2 AS idx, sum({shoelace()}) AS area FROM tri GROUP BY ALL),
+ s AS (SELECT image_id, a_t // 2 AS a_idx, b_t // 2 AS b_idx, sum(inter) AS inter FROM tt GROUP BY ALL)
+ SELECT s.image_id, a_idx, b_idx, round(inter, 3) AS shared, round(inter / (a.area + b.area - inter), 6) AS iou FROM s JOIN ar a ON s.image_id = a.image_id AND a_idx = a.idx JOIN ar b ON s.image_id = b.image_id AND b_idx = b.idx WHERE inter > 1e-3""")
+def any_quad_iou(spark, sf):
+    q = any_quads(spark, sf)
+    out = rotated_iou(q.toDF("image_id", "a_idx", "qa"), q.toDF("image_id", "b_idx", "qb"), ["image_id"], F.col("a_idx") < F.col("b_idx")).where("inter > 1e-3")
+    return out.select("image_id", "a_idx", "b_idx", r("inter", 3).alias("shared"), r("iou").alias("iou"))
+
+
+@query(f"WITH {TRI}, {union_sql('tri', 'image_id', 'uu')} SELECT image_id, round(u, 3) AS area FROM uu")
+def any_quad_union(spark, sf):
+    return union_area(any_quads(spark, sf), ["image_id"]).select("image_id", r("union_area", 3).alias("area"))

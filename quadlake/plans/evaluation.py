@@ -26,7 +26,7 @@ def outcomes(spark, sf, at=(PARAMS.match_iou,)) -> DataFrame:
 # The greedy step in the other engine: pairs in order, one for each step of a recursion that carries what is taken.
 def greedy_sql(at: str) -> str:
     return f"""th AS (SELECT unnest({at}) AS threshold),
- cand AS (SELECT threshold, i.image_id, i.pred_idx, truth_idx, round(iou, 9) AS iou, p.score, row_number() OVER (PARTITION BY threshold, i.image_id ORDER BY p.score DESC, i.pred_idx, round(iou, 9) DESC, truth_idx) AS k
+ cand AS (SELECT threshold, i.image_id, i.pred_idx, truth_idx, iou, p.score, row_number() OVER (PARTITION BY threshold, i.image_id ORDER BY p.score DESC, i.pred_idx, round(iou, 9) DESC, truth_idx) AS k
    FROM iou0 i JOIN pq p ON i.image_id = p.image_id AND i.pred_idx = p.pred_idx, th WHERE inter > 0 AND round(iou, 9) >= threshold),
  fold AS (SELECT threshold, image_id, 0::BIGINT AS k, []::INT[] AS ps, []::INT[] AS ts FROM (SELECT DISTINCT threshold, image_id FROM cand)
    UNION ALL SELECT f.threshold, f.image_id, c.k, CASE WHEN list_contains(ps, c.pred_idx) OR list_contains(ts, c.truth_idx) THEN ps ELSE list_append(ps, c.pred_idx) END,

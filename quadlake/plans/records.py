@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixtures import fx, table
 from ..functions import formats
 from ..functions import geometry as g
+from ..functions.text import fixed
 from ..operators import annotations as an
 from ..operators import duplicates, exports, governance, records, reports, splits
 from ..params import PARAMS
@@ -94,7 +95,7 @@ def run_records(spark, sf):
     runs, root = fx(spark, sf, "fx_runs"), fresh_root(spark)
     name = F.concat(F.lit("run-"), F.lpad(F.col("run_id").cast("string"), 6, "0"))
     at = records.stamp_text(F.timestamp_seconds(F.col("run_id") + 1767225600))
-    metrics = F.when(F.col("ci_half").isNotNull(), F.struct(F.format_string("%.4f", "map50").alias("map50")))
+    metrics = F.when(F.col("ci_half").isNotNull(), F.struct(fixed(F.col("map50"), 4).alias("map50")))
     rows = runs.select(name.alias("name"), at.alias("timestamp"), F.struct(F.col("detector_id").cast("string").alias("name")).alias("detector"), (~F.col("git_dirty")).alias("reproducible"), metrics.alias("metrics"))
     records.write_runs(rows, root)
     return labels.discover_runs(spark, root).select("run", "timestamp", F.col("detector.name").alias("detector"), "reproducible", F.get_json_object("metrics", "$.map50").alias("map50"))
@@ -104,7 +105,7 @@ def run_records(spark, sf):
 def comparison_csv(spark, sf):
     """The comparison table, written as CSV in a fixed order of columns and read back."""
     path = fresh_root(spark)
-    runs = fx(spark, sf, "fx_runs").withColumn("map50", F.format_string("%.3f", "map50"))
+    runs = fx(spark, sf, "fx_runs").withColumn("map50", fixed(F.col("map50"), 3))
     records.write_comparison(runs, ["run_id", "detector_id", "git_dirty", "map50"], path)
     return spark.read.option("header", True).schema("run_id long, detector_id long, git_dirty boolean, map50 string").csv(path)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fx, table
 from ..functions import geometry as g
+from ..functions.text import fixed
 from ..operators import annotations as an
 from ..operators import cells, duplicates, exports, governance, matching, splits
 from ..params import PARAMS
@@ -70,7 +71,7 @@ def anchor_grid(spark, sf):
 
 _POINTS = "pt AS (SELECT image_id, cell_idx AS point, stride, center_x + (cell_idx * 37 % 100) - 50 AS x, center_y + (cell_idx * 53 % 100) - 50 AS y FROM fx_cells)"
 _CAND = f"""{_POINTS}, cd AS (SELECT p.image_id, point, ann_idx AS target, abs(round((x - cx) * cos(theta) + (y - cy) * sin(theta), 9)) <= w / 2 AND abs(round(-(x - cx) * sin(theta) + (y - cy) * cos(theta), 9)) <= h / 2 AS inside,
-  abs(x - cx) < 2.5 * stride AND abs(y - cy) < 2.5 * stride AS near FROM pt p JOIN fx_truth t ON p.image_id = t.image_id)"""
+  abs(round(x - cx, 9)) < 2.5 * stride AND abs(round(y - cy, 9)) < 2.5 * stride AS near FROM pt p JOIN fx_truth t ON p.image_id = t.image_id)"""
 
 
 def _points(spark, sf) -> DataFrame:
@@ -345,7 +346,7 @@ def convert_roundtrip(spark, sf):
     formats keep of a quad."""
     t = truth(spark, sf)
     px = F.col("quad_px")
-    text = F.transform(px, lambda p: F.struct(F.format_string("%.6f", p["x"]).cast("double").alias("x"), F.format_string("%.6f", p["y"]).cast("double").alias("y")))
+    text = F.transform(px, lambda p: F.struct(fixed(p["x"], 6).cast("double").alias("x"), fixed(p["y"], 6).cast("double").alias("y")))
     back = g.to_norm(text, F.col("width"), F.col("height"))
     yolo = F.transform("quad_n", lambda p: F.struct(p["x"].cast("string").cast("double").alias("x"), p["y"].cast("string").cast("double").alias("y")))
     error = lambda q: F.array_max(F.zip_with(q, "quad_n", lambda a, b: F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"]))))

@@ -269,3 +269,17 @@ def test_exports_are_refused_before_anything_is_written(spark, tmp_path):
     assert (tmp_path / "out" / "Annotations" / "1.xml").exists()
     exports.export_tree(rows, "bbox_yolo", root, "clip", {0: "note"})
     assert not (tmp_path / "out" / "Annotations").exists() and labels.read_bbox_yolo(labels.read_label_files(spark, root)).count() == 1
+
+
+def test_fixed_prints_as_c_does(spark):
+    import random
+
+    from quadlake.functions.text import fixed
+
+    rng = random.Random(1)
+    values = [552.7265625, 552.7265635, 0.0078125, 1.5, -2.0000005, -552.7265625, 0.5, 1e-9, 123456.0, 0.0, -0.0, 3.0000015, 1.0000025]
+    values += [rng.randrange(2**40) / 2**30 for _ in range(300)] + [rng.randrange(10**9) / 10**7 for _ in range(3000)] + [(rng.randrange(2**20) + 0.5) / 2**7 for _ in range(300)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(fixed(F.col("v"), 6)).collect()]
+    assert [(v, x) for v, x in zip(values, got, strict=True) if x != f"{v:.6f}"] == []
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(fixed(F.col("v"), 3)).collect()]
+    assert [(v, x) for v, x in zip(values, got, strict=True) if x != f"{v:.3f}"] == []
