@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from ..params import PARAMS, Params
 from ..scratch import written
 from .overlap import covered_by
+from .quantiles import exact_percentiles
 
 
 def crop_samples(matches: DataFrame, predictions: DataFrame, truths: DataFrame, ignored: DataFrame, scenes: DataFrame, margins=(PARAMS.margin,)) -> DataFrame:
@@ -33,23 +34,14 @@ def crop_samples(matches: DataFrame, predictions: DataFrame, truths: DataFrame,
     return out.select(*keys, seen.alias("detected"), F.when(seen, F.least(one, "coverage")).otherwise(0.0).alias("coverage"), F.when(seen, F.least(one, "contamination")).alias("contamination"), "scene")
 
 
-def percentile(c: str, p: float) -> Column:
-    return F.coalesce(F.percentile(c, F.lit(p / 100)), F.lit(0.0))
-
-
 def summary(samples: DataFrame, params: Params = PARAMS) -> DataFrame:
     """One row for each margin."""
     hit = F.when(F.col("detected"), F.col("coverage"))
-    s = samples.withColumn("hit", hit)
-    out = s.groupBy("margin").agg(
-        F.count(F.lit(1)).alias("n_truths"),
-        F.sum(F.col("detected").cast("long")).alias("detected"),
-        percentile("coverage", params.coverage_percentile).alias("coverage_p5_all"),
-        percentile("hit", params.coverage_percentile).alias("coverage_p5_detected"),
-        percentile("coverage", 50).alias("coverage_median"),
-        percentile("contamination", params.contamination_percentile).alias("contamination_p95"),
-        percentile("contamination", 50).alias("contamination_median"),
-    )
+    s = written(samples.select("margin", "detected", "coverage", "contamination", hit.alias("hit")))
+    low, high = params.coverage_percentile / 100, params.contamination_percentile / 100
+    targets = {"coverage_p5_all": ("coverage", low), "coverage_p5_detected": ("hit", low), "coverage_median": ("coverage", 0.5), "contamination_p95": ("contamination", high), "contamination_median": ("contamination", 0.5)}
+    counts = s.groupBy("margin").agg(F.count(F.lit(1)).alias("n_truths"), F.sum(F.col("detected").cast("long")).alias("detected"))
+    out = counts.join(exact_percentiles(s, ["margin"], targets), "margin").na.fill(0.0, list(targets))
     return out.withColumn("meets_target", F.col("coverage_p5_all") >= params.coverage_target)
 
 
@@ -57,7 +49,9 @@ def by_scene(samples: DataFrame, params: Params = PARAMS) -> DataFrame:
     """margin, scene, n, median, p95, threshold, passes; both scenes for each margin. Without samples a scene passes."""
     limits = F.explode(F.create_map(F.lit("single"), F.lit(params.single_max), F.lit("fan"), F.lit(params.fan_max))).alias("scene", "threshold")
     every = samples.select("margin").distinct().select("margin", limits)
-    got = samples.where("detected and contamination is not null").groupBy("margin", "scene").agg(F.count(F.lit(1)).alias("n"), F.percentile("contamination", F.lit(0.5)).alias("median"), F.percentile("contamination", F.lit(params.contamination_percentile / 100)).alias("p95"))
+    seen = written(samples.where("detected and contamination is not null").select("margin", "scene", "contamination"))
+    ends = exact_percentiles(seen, ["margin", "scene"], {"median": ("contamination", 0.5), "p95": ("contamination", params.contamination_percentile / 100)})
+    got = seen.groupBy("margin", "scene").agg(F.count(F.lit(1)).alias("n")).join(ends, ["margin", "scene"])
     out = every.join(got, ["margin", "scene"], "left").na.fill({"n": 0, "median": 0.0, "p95": 0.0})
     return out.withColumn("passes", (F.col("n") == 0) | (F.col("p95") <= F.col("threshold")))
 
@@ -72,6 +66,7 @@ def geometry_diagnostics(matches: DataFrame, predictions: DataFrame, truths: Dat
     angle = pairs.select(g.angle_error(g.angle_deg(F.col("cp"), one), g.angle_deg(F.col("ct"), one)).alias("angle"))
     longest = F.array_max(g.edge_lengths(F.col("ct"), one)).alias("longest")
     distance = pairs.select(longest, F.explode(F.zip_with("cp", "ct", lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]))).alias("distance"))
-    distance = distance.withColumn("share", F.col("distance") / F.col("longest"))
-    ends = lambda c: [F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.percentile(c, F.lit(0.95)).alias(f"{c}_p95")]
-    return angle.agg(F.count(F.lit(1)).alias("n_pairs"), *ends("angle")).crossJoin(distance.agg(*ends("distance"), *ends("share")))
+    angle, distance = written(angle), written(distance.withColumn("share", F.col("distance") / F.col("longest")))
+    ends = lambda *cs: {f"{c}_{n}": (c, p) for c in cs for n, p in (("median", 0.5), ("p95", 0.95))}
+    one_row = [angle.agg(F.count(F.lit(1)).alias("n_pairs")), exact_percentiles(angle, [], ends("angle")), exact_percentiles(distance, [], ends("distance", "share"))]
+    return one_row[0].crossJoin(one_row[1]).crossJoin(one_row[2])

@@ -1,66 +1,64 @@
-"""Average precision from ranked outcomes, counts, and bootstrap intervals over images."""
+"""Average precision from ranked outcomes, and intervals over replicates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import PARAMS
+from ..scratch import written
 
-_BINS = 1024
+#: Rows of a range of the ranking.
+RANGE_ROWS = 200_000
 
 
-def ranked_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+def ranged(rows: DataFrame, keys: list[str], range_rows: int) -> DataFrame:
+    """Adds _range: rows in the order of keys, descending score, image_id, pred_idx are cut into ranges of about `range_rows`. The
+    cuts are whole sort keys, so rows of one score are parted like others. Written: a range's number must not change."""
+    n = max(1, -(-rows.count() // range_rows))
+    return written(rows.repartitionByRange(n, *keys, F.desc("score"), "image_id", "pred_idx").withColumn("_range", F.spark_partition_id()))
+
+
+def ranked_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds running sums in the order of descending score, image_id, pred_idx within keys.
 
-    No task sees a whole key: rows are in 1024 ranges of score (within 0 and 1), a prefix sum over the ranges' totals gives
-    where each starts, and a window runs inside a range only.
+    No task sees a whole key: a prefix sum over the totals of ranges of equal depth (see ranged) gives where each starts, and a
+    window runs inside a range only.
     """
-    binned = rows.withColumn("_bin", F.floor((1 - F.col("score")) * _BINS)).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_bin", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
-    order = Window.partitionBy(*keys, "_bin").orderBy(F.desc("score"), "image_id", "pred_idx").rowsBetween(Window.unboundedPreceding, 0)
-    inner = binned.withColumns({n: F.sum(f"_v_{n}").over(order) for n in sums})
-    out = inner.join(starts, [*keys, "_bin"]).withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in sums})
-    return out.drop("_bin", *[f"_{k}_{n}" for k in "vts" for n in sums])
+    cut = ranged(rows.withColumns({f"_v_{n}": c for n, c in sums.items()}), keys, range_rows)
+    totals = cut.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    order = Window.partitionBy(*keys, "_range").orderBy(F.desc("score"), "image_id", "pred_idx").rowsBetween(Window.unboundedPreceding, 0)
+    inner = cut.withColumns({n: F.sum(f"_v_{n}").over(order) for n in sums})
+    out = inner.join(starts, [*keys, "_range"]).withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in sums})
+    return out.drop("_range", *[f"_{k}_{n}" for k in "vts" for n in sums])
 
 
-def pr_curve(found: DataFrame, n_truths: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+def pr_curve(found: DataFrame, n_truths: DataFrame, keys: list[str]) -> DataFrame:
     """Adds precision and recall to scored outcomes. found: keys, image_id, pred_idx, score, hit; n_truths: keys, n_truths."""
-    w = weight if weight is not None else F.lit(1)
-    sums = ranked_sums(found, keys, {"tp": w * F.col("hit"), "seen": w * F.lit(1)}).join(n_truths, keys)
+    sums = ranked_sums(found, keys, {"tp": F.col("hit"), "seen": F.lit(1)}).join(n_truths, keys)
     return sums.withColumns({"precision": F.col("tp") / F.col("seen"), "recall": F.when(F.col("n_truths") > 0, F.col("tp") / F.col("n_truths"))})
 
 
-def average_precision(found: DataFrame, n_truths: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+def mean_of_envelope(best: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ap from the best precision of each last recall point: a point has the best of those that reach it."""
+    points = best.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).groupBy(*keys, "i").agg(F.max("precision").alias("p"))
+    return points.groupBy(*keys).agg((F.sum("p") / 101).alias("ap"))
+
+
+def average_precision(found: DataFrame, n_truths: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ap: the mean over 101 recall points i * 0.01 of the best precision at that recall or beyond; NaN without truths, 0
     without detections. A row counts for the points up to its recall, so only the best precision for each last point is kept
     (101 rows for a key) and the envelope is a maximum over those."""
-    curve = pr_curve(found, n_truths, keys, weight).where("n_truths > 0")
+    curve = pr_curve(found, n_truths, keys).where("n_truths > 0")
     j = F.floor(F.col("recall") * 100)
     last = F.when((j + 1) * 0.01 <= F.col("recall"), j + 1).when(j * 0.01 <= F.col("recall"), j).otherwise(j - 1)
     best = curve.withColumn("last", F.least(last, F.lit(100))).groupBy(*keys, "last").agg(F.max("precision").alias("precision"))
-    points = best.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).groupBy(*keys, "i").agg(F.max("precision").alias("p"))
-    ap = points.groupBy(*keys).agg((F.sum("p") / 101).alias("ap"))
+    ap = mean_of_envelope(best, keys)
     out = n_truths.join(ap, keys, "left")
     return out.select(*keys, F.when(F.col("n_truths") > 0, F.coalesce("ap", F.lit(0.0))).otherwise(F.lit(float("nan"))).alias("ap"))
 
 
-def draws(units: DataFrame, samples: int, seed: int = PARAMS.seed) -> DataFrame:
-    """rep, image_id, mult: images drawn with replacement, n of n, for each replicate. units: image_id, one row each.
-
-    Draw j of a replicate is row md5(rep:j:seed) mod n, so any engine draws the same. The driver learns n only.
-    """
-    n = units.count()
-    numbered = units.select("image_id", (F.row_number().over(Window.orderBy("image_id")) - 1).cast("long").alias("at"))
-    spark = units.sparkSession
-    picks = spark.range(samples).withColumnRenamed("id", "rep").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))))
-    key = F.concat_ws(":", "rep", "j", F.lit(str(seed)))
-    at = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % max(1, n)).alias("at")
-    return picks.select("rep", at).groupBy("rep", "at").agg(F.count(F.lit(1)).alias("mult")).join(numbered, "at").select("rep", "image_id", "mult")
-
-
 def interval(values: DataFrame, value: str, point: DataFrame, n: int, samples: int) -> DataFrame:
     """One row: the point, the 2.5th and 97.5th percentiles over replicates that aren't NaN, n and samples. With fewer than two
     units the bounds are NaN and samples is 0."""

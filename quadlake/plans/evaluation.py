@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fx
 from ..operators import annotations as an
-from ..operators import crops, detection, matching
+from ..operators import bootstrap, crops, detection, matching
 from ..params import COCO_THRESHOLDS, PARAMS
+from ..scratch import written
 from .boxes import IGN, IOA, IOU, KEPT, PQ, TQ, XY, canonical_sql, covered_sql, filtered, pred_polygons, r, truth_polygons
 from .registry import query
 
@@ -211,10 +212,15 @@ def evaluate_report(spark, sf):
     return ap.crossJoin(n).crossJoin(found.agg(*kinds)).crossJoin(s)
 
 
-# Bootstrap. Draw j of a replicate is row md5(rep:j:seed) mod n, so both engines draw the same.
+# Bootstrap. Draw j of a replicate falls into block md5(rep:j:seed) mod n div 4096, and the block's draw d on its image
+# md5(rep:block:d:seed) mod size, so both engines draw the same.
 B = PARAMS.bootstrap_samples
-DRAWS = f"""un AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS place FROM (SELECT DISTINCT image_id FROM {{units}})), nn AS (SELECT count(*) AS n FROM un),
- pk AS (SELECT rep, CAST('0x' || substr(md5(rep || ':' || j || ':{PARAMS.seed}'), 1, 8) AS BIGINT) % n AS place FROM range({B}) a(rep), nn, LATERAL (SELECT unnest(range(n)) AS j)),
+_HASH = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+DRAWS = f"""un AS (SELECT image_id, row_number() OVER (ORDER BY md5(CAST(image_id AS VARCHAR)), image_id) - 1 AS place FROM (SELECT DISTINCT image_id FROM {{units}})), nn AS (SELECT count(*) AS n FROM un),
+ bl AS (SELECT place // 4096 AS block, count(*) AS size FROM un GROUP BY 1),
+ p1 AS (SELECT rep, j, {_HASH.format(f"rep || ':' || j || ':{PARAMS.seed}'")} % n // 4096 AS block FROM range({B}) a(rep), nn, LATERAL (SELECT unnest(range(n)) AS j)),
+ p2 AS (SELECT rep, block, row_number() OVER (PARTITION BY rep, block ORDER BY j) - 1 AS d FROM p1),
+ pk AS (SELECT rep, p2.block * 4096 + {_HASH.format(f"rep || ':' || p2.block || ':' || d || ':{PARAMS.seed}'")} % size AS place FROM p2 JOIN bl ON p2.block = bl.block),
  dr AS (SELECT rep, image_id, count(*) AS mult FROM pk JOIN un USING (place) GROUP BY rep, image_id)"""
 
 
@@ -222,9 +228,8 @@ DRAWS = f"""un AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS
  SELECT round((SELECT avg(value) FROM v), 6) AS value, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high, (SELECT n FROM nn) AS n, {B}::BIGINT AS samples FROM s""")
 def bootstrap_ci(spark, sf):
     v = fx(spark, sf, "fx_stats").groupBy("image_id").agg(F.avg("score").alias("value"))
-    reps = detection.draws(v.select("image_id"), B).join(v, "image_id").groupBy("rep").agg((F.sum(F.col("mult") * F.col("value")) / F.sum("mult")).alias("value"))
     n = v.count()
-    return rounded(detection.interval(reps, "value", v.agg(F.avg("value").alias("value")), n, B))
+    return rounded(detection.interval(bootstrap.bootstrap_mean(v, B), "value", v.agg(F.avg("value").alias("value")), n, B))
 
 
 @query(f"""WITH {DRAWS.format(units='fx_stats')}, al AS (SELECT rep, image_id, mult FROM dr UNION ALL SELECT -1, image_id, 1 FROM un),
@@ -237,10 +242,8 @@ def bootstrap_map50(spark, sf):
     """AP of each replicate by weights: an image drawn k times counts k times, nothing is copied."""
     from pyspark.sql import Window
 
-    stats = fx(spark, sf, "fx_stats").withColumn("pred_idx", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), F.desc("hit"))))
-    units = stats.select("image_id").distinct()
-    reps = detection.draws(units, B)
-    rows = stats.join(reps.unionByName(units.select(F.lit(-1).cast("long").alias("rep"), "image_id", F.lit(1).cast("long").alias("mult"))), "image_id")
-    n_truths = rows.groupBy("rep").agg(F.sum(F.col("mult") * F.col("hit")).alias("n_truths"))
-    ap = detection.average_precision(rows, n_truths, ["rep"], F.col("mult"))
+    stats = fx(spark, sf, "fx_stats").withColumn("hit", F.col("hit").cast("int"))
+    rows = written(stats.withColumn("pred_idx", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), F.desc("hit")))))
+    units = written(rows.groupBy("image_id").agg(F.sum("hit").alias("truths")))
+    ap = written(bootstrap.bootstrap_ap(rows, units, B))
     return rounded(detection.interval(ap.where("rep >= 0"), "ap", ap.where("rep < 0").select(F.col("ap").alias("value")), units.count(), B))
