@@ -141,22 +141,6 @@ def test_every_order_is_an_image(spark, tmp_path):
     assert truths == fx(spark, str(tmp_path), "fx_cells").select("image_id").distinct().count() == 40
 
 
-def test_blocks_grow_with_the_rows(spark, monkeypatch):
-    import numpy as np
-
-    from quadlake.operators import duplicates
-
-    v = np.random.default_rng(1).normal(size=(90, 4))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, sig array<double>")
-    dealt, pmod = [], F.pmod
-    monkeypatch.setattr(duplicates, "_BLOCK_ROWS", 9, raising=False)
-    monkeypatch.setattr(duplicates.F, "pmod", lambda a, b: dealt.append(b) or pmod(a, b))
-    got = {(r.a, r.b) for r in duplicates.near_pairs(df, 0.8).collect()}
-    assert got == {(i, j) for j in range(90) for i in range(j) if v[i] @ v[j] > 0.8} and len(got) > 50
-    assert "10" in str(dealt[0])
-
-
 def test_assignments_are_frozen_and_read_back(spark, tmp_path):
     from quadlake.operators import records
 
