@@ -126,7 +126,7 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 4, most: int = 20
     for level in range(depth):
         into = spark.createDataFrame([(signed(m), [signed(x) for x in split_masks(m, distance + 1)]) for m in masks], "mask long, into array<long>")
         masks = sorted({x for m in masks for x in split_masks(m, distance + 1)})
-        cut = rows.join(F.broadcast(into), "mask").select(F.explode("into").alias("mask"), "print").withColumn("bucket", F.col("print").bitwiseAND(F.col("mask")))
+        cut = (rows.join(F.broadcast(into), "mask") if level else rows.withColumn("into", F.array(*[F.lit(signed(m)) for m in masks]))).select(F.explode("into").alias("mask"), "print").withColumn("bucket", F.col("print").bitwiseAND(F.col("mask")))
         cut = scratch.write(cut.distinct() if level else cut, f"cut{level}")
         sizes = scratch.write(cut.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{level}")
         small = cut.join(sizes.where(F.col("n") <= most), ["mask", "bucket"]).groupBy("mask", "bucket").agg(F.collect_list("print").alias("prints"))

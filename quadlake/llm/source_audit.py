@@ -13,15 +13,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .common import slices as parts_of
 
-#: A term: ASCII letters and all that isn't ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term is ASCII letters and all that isn't ASCII. On UTF-8 bytes: A-Z are lowered, what is in no term becomes a blank.
+_TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _ALL = 2**31 - 1
 
 
-def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+def cut_terms(rows: DataFrame) -> DataFrame:
+    """lang, source, code, terms (in order) and kinds (each once) of the rows that have a code; other rows without terms. rows: lang,
+    source, code, text (UTF-8)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
+            lists: tuple = ([], [])
+            ends: tuple = ([0], [0])
+            for code, text in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                words = text.as_py().translate(_TO_TERMS).split() if code >= 0 else []
+                for own, end, new in zip(lists, ends, (words, set(words)), strict=True):
+                    own.extend(new)
+                    end.append(len(own))
+            made = [pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(own, pa.string())) for own, end in zip(lists, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["lang", "source", "code", "terms", "kinds"])
+
+    return rows.select("lang", "source", "code", "text").mapInArrow(cut, "lang string, source string, code int, terms array<string>, kinds array<string>")
 
 
 def in_slice(terms: Column, part: int, slices: int) -> Column:
@@ -30,7 +45,8 @@ def in_slice(terms: Column, part: int, slices: int) -> Column:
 
 def probability(n: str, total: str, kept: str) -> Column:
     """1 + floor(10^9 (n + 5) / (total + 5 kept)) in exact integers; 0 where no term is kept."""
-    p = F.expr(f"1 + cast(1000000000 as decimal(10, 0)) * cast({n} + 5 as decimal(20, 0)) div cast(nullif({total} + 5 * {kept}, 0) as decimal(20, 0))")
+    p = F.expr(f"""1 + CASE WHEN {n} < 9000000000 THEN 1000000000L * ({n} + 5) div nullif({total} + 5 * {kept}, 0)
+      ELSE cast(1000000000 as decimal(10, 0)) * cast({n} + 5 as decimal(20, 0)) div cast({total} + 5 * {kept} as decimal(20, 0)) END""")
     return F.coalesce(p, F.lit(0)).cast("long")
 
 
@@ -78,17 +94,18 @@ def kept_terms(docs: DataFrame, scratch: Scratch, text_col: str, lang_col: str,
     many = sorted(lang for lang, n in sizes.items() if n >= least)
     codes = spark.createDataFrame(list(enumerate(many)), "code int, lang string")
     # an empty lang can't be the name of a folder of the table, so folders are numbers
-    tokens = scratch.write(read.join(F.broadcast(codes), "lang", "left").select("lang", "source", F.when(F.col("code").isNotNull(), terms_of(F.col("text"))).alias("terms"), F.coalesce("code", F.lit(-1)).alias("code")), "tokens", ("code",))
-    incidences = {r["code"]: r["n"] for r in tokens.groupBy("code").agg(F.sum(F.size(F.array_distinct("terms"))).alias("n")).collect()}
+    rows = read.join(F.broadcast(codes), "lang", "left").select("lang", "source", F.coalesce("code", F.lit(-1)).alias("code"), F.col("text").cast("binary").alias("text"))
+    tokens = scratch.write(cut_terms(rows), "tokens", ("code",))
+    incidences = {r["code"]: r["n"] for r in tokens.groupBy("code").agg(F.sum(F.size("kinds")).alias("n")).collect()}
     counts = None
     for code, lang in enumerate(many):
         slices = max(1, -(-(incidences[code] // least) // slice_terms))
         for part in range(slices):
-            own = tokens.where(F.col("code") == code).select("source", "terms")
+            own = tokens.where(F.col("code") == code).select("source", "terms", "kinds")
             if slices > 1:
-                own = own.withColumn("terms", in_slice(F.col("terms"), part, slices))
-            try:
-                model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=_ALL).fit(own)
+                own = own.withColumns({c: in_slice(F.col(c), part, slices) for c in ("terms", "kinds")})
+            try:  # only documents count for the vocabulary, so it is fitted to each document's distinct terms
+                model = CountVectorizer(inputCol="kinds", outputCol="vector", minDF=float(least), vocabSize=_ALL).fit(own).setInputCol("terms")
             except IllegalArgumentException as e:
                 if "vocabulary size" in str(e):  # no term is in enough documents
                     continue

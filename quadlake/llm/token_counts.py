@@ -42,6 +42,26 @@ def units(text: str) -> list[str]:
     return out
 
 
+class Parts(dict):
+    """A word's last character -> whether the library starts a new pre-token between it and a mark. It does after ASCII letters.
+    Others are normalised first, and may then end in a combining mark, which stays with the mark that follows."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, last: str) -> bool:
+        if last.isascii():
+            known = last.isalpha()
+        else:
+            library = self.tokenizer
+            normal = library.normalizer.normalize_str(last) if library.normalizer else last
+            cuts = library.pre_tokenizer.pre_tokenize_str(normal + "?") if library.pre_tokenizer else []
+            known = last.isalpha() and any(end == len(normal) for _, (_, end) in cuts)
+        self[last] = known
+        return known
+
+
 class Pieces(dict):
     """piece -> what the tokenizer makes of it, in a worker. Starts from a table; other pieces are encoded once and kept.
 
@@ -52,7 +72,7 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, table: dict, bound: int):
         super().__init__(table)
-        self.tokenizer, self.table, self.bound, self.old, self.ends = tokenizer, table, bound, {}, {}
+        self.tokenizer, self.table, self.bound, self.old, self.parts = tokenizer, table, bound, {}, Parts(tokenizer)
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.between, self.mark = next(iter(self.specials.items()))
 
@@ -67,17 +87,6 @@ class Pieces(dict):
         """A piece with the same ids."""
         return piece
 
-    def parts(self, last: str) -> bool:
-        """Whether the library starts a new pre-token between a word's last character and a mark. It does after ASCII letters.
-        Others are normalised first, and may then end in a combining mark, which stays with the mark that follows."""
-        if last.isascii():
-            return last.isalpha()
-        if (known := self.ends.get(last)) is None:
-            library = self.tokenizer
-            normal = library.normalizer.normalize_str(last) if library.normalizer else last
-            cuts = library.pre_tokenizer.pre_tokenize_str(normal + "?") if library.pre_tokenizer else []
-            known = self.ends[last] = last.isalpha() and any(end == len(normal) for _, (_, end) in cuts)
-        return known
 
     def encoded(self, pieces: list[str]) -> list:
         import numpy as np
@@ -98,14 +107,14 @@ class Pieces(dict):
             self.clear()
             self.update(self.table)
         old, parts, unknown = self.old, [], set()
-        add, base_of = unknown.add, self.base
+        add, base_of, parts_at = unknown.add, self.base, self.parts
         for piece in missing:
             if (v := old.get(piece)) is not None:
                 self[piece] = v
                 continue
             base = base_of(piece)
             word = base.rstrip(_MARKS)
-            if len(word) == len(base) or not word or not self.parts(word[-1]):
+            if len(word) == len(base) or not word or not parts_at[word[-1]]:
                 if base not in self:
                     add(base)
                 if base != piece:
