@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,14 +99,45 @@ def finish_run(spark: SparkSession, path: str, record: dict, metrics: dict) -> N
     write_json(spark, path, "run.json", {"timestamp": stamp(), **record})
 
 
+def _created(spark: SparkSession, system, folder, name: str, content: bytes) -> bool:
+    """Writes a new file; False if it exists. Hadoop's local file system looks first and then creates, so there the operating
+    system's exclusive open decides."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+    if system.getUri().getScheme() == "file":
+        try:
+            with open(path.toUri().getPath(), "xb") as f:
+                f.write(content)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = system.create(path, False)
+    except Py4JJavaError:
+        if system.exists(path):
+            return False
+        raise
+    out.write(content)
+    out.close()
+    return True
+
+
 def record_test_access(spark: SparkSession, log: str, run: str, reason: str) -> int:
-    """Appends an access to the sealed test split, one JSON line in a file of its own, and gives its number."""
+    """Appends an access to the sealed test split, one JSON line in a file of its own, and gives its number.
+
+    The file is named by the number and created only if it isn't there; who loses a race takes the next number, so accesses at
+    the same time have different numbers and none overwrites another."""
     if not reason.strip():
         raise ValueError("an access to the test split needs a reason")
-    before = spark.read.text(log).where(F.trim("value") != "").count() if exists(spark, log) else 0
-    line = json.dumps({"utc": stamp(), "run": run, "reason": reason, "access_number": before + 1})
-    spark.createDataFrame([(line,)], "value string").write.mode("append").text(log)
-    return before + 1
+    folder = spark._jvm.org.apache.hadoop.fs.Path(log)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    taken = [int(m[1]) for f in system.listStatus(folder) if (m := re.fullmatch(r"access-(\d+)\.json", f.getPath().getName()))]
+    number = max(taken, default=0) + 1
+    while True:
+        line = json.dumps({"utc": stamp(), "run": run, "reason": reason, "access_number": number}) + "\n"
+        if _created(spark, system, folder, f"access-{number:09d}.json", line.encode()):
+            return number
+        number += 1
 
 
 def evaluate_on_test(spark: SparkSession, log: str, run: str, reason: str, evaluate: Callable[[], DataFrame]) -> tuple[int, DataFrame]:

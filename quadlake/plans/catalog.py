@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import boxes, evaluation, records, tables  # noqa: F401
+from . import boxes, evaluation, records, tables, trees  # noqa: F401
 from . import registry
 
 QUERIES = registry.QUERIES
