@@ -104,7 +104,7 @@ def violation_bound(polygons: DataFrame, findings: DataFrame, params: Params = P
     threshold = params.visibility_threshold
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .reference_geometry import most_hidden
+        from .depth import most_hidden
 
         quads = [[(p["x"], p["y"]) for p in q] for q in pdf.sort_values("idx")["q"]]
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "component": [pdf["component"].iloc[0]], "bound": [most_hidden(quads, threshold)]})

@@ -8,8 +8,14 @@ from dataclasses import dataclass
 COPYLEFT = ("AGPL-3.0", "GPL-3.0", "GPL-2.0", "SSPL-1.0")
 
 
+#: The shapes of the angle weight (see functions/geometry.py).
+DECAY_NAMES = ("linear", "smoothstep", "quadratic", "step")
+
+
 @dataclass(frozen=True)
 class Params:
+    """The defaults are those of the protocol."""
+
     ratios: tuple[float, float, float] = (0.70, 0.15, 0.15)
     seed: int = 20260910
     folds: int = 5
@@ -28,7 +34,10 @@ class Params:
     nms_iou: float = 0.5
     max_detections: int = 300
     pad_fraction: float = 0.25
+    angle_weights: bool = True
     angle_ratio_threshold: float = 1.1
+    angle_least: float = 0.0
+    angle_decay: str = "smoothstep"
     long_side_tie: float = 0.05
     duplicate_threshold: float = 0.92
     bootstrap_samples: int = 2000
@@ -42,6 +51,8 @@ class Params:
             raise ValueError("ratios must sum to 1")
         if not 0 <= self.min_relative_area <= 1:
             raise ValueError("min_relative_area must be within 0 and 1")
+        if self.angle_ratio_threshold <= 1 or self.angle_decay not in DECAY_NAMES:
+            raise ValueError(f"the angle weight rises above a ratio of 1, in one of the shapes {DECAY_NAMES}")
         if self.fan_max < self.single_max:
             raise ValueError("fan_max must not be below single_max")
         if self.margin < 0 or any(m < 0 for m in self.margins):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,7 +231,7 @@ def angle_codec(spark, sf):
  SELECT image_id, ann_idx, round(t, 6) AS linear, round(t * t * (3 - 2 * t), 6) AS smoothstep, round(t * t, 6) AS quadratic, CASE WHEN t >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS step FROM p""")
 def angle_weight(spark, sf):
     ratio = F.greatest("w", "h") / F.least("w", "h")
-    return fx(spark, sf, "fx_truth").select("image_id", "ann_idx", *[r(g.angle_weight(ratio, decay=d)).alias(d) for d in g.DECAYS])
+    return fx(spark, sf, "fx_truth").select("image_id", "ann_idx", *[r(g.angle_weight(ratio, replace(PARAMS, angle_decay=d))).alias(d) for d in g.DECAYS])
 
 
 _TDEG, _PDEG = "degrees(t.theta)", "degrees(p.theta)"

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from quadlake.functions import geometry as g
 from quadlake.operators import governance, exports, splits
 from quadlake.operators.overlap import covered_by_others, rotated_iou, union_area
-from quadlake.operators.reference_geometry import most_hidden
 from quadlake.params import Params
 from quadlake.sources import labels
 
@@ -42,12 +41,6 @@ def test_canonical_order_ignores_input_order(spark):
     assert len(got) == 1
 
 
-def test_most_hidden():
-    big, left, right = [(0, 0), (10, 0), (10, 10), (0, 10)], [(0, 0), (5, 0), (5, 10), (0, 10)], [(5, 0), (10, 0), (10, 10), (5, 10)]
-    assert most_hidden([big, left, right], 0.25) == 2
-    assert most_hidden([left, right], 0.25) == 0
-
-
 def test_folds_are_those_of_one_by_one():
     import random
 
