@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,11 +61,15 @@ def subword_counts(word: str, buckets: int, block: int = 1 << 20) -> np.ndarray:
 
 
 def bag_of(text: str | None, buckets: int) -> np.ndarray:
-    """The sorted buckets of all subwords of a text."""
-    words = (text or "").lower().split()
-    bags = [np.array([s for w in words if len(w) <= _BLOCK for s in subwords(w, buckets)], "<u2")]
-    bags += [np.repeat(np.arange(buckets, dtype="<u2"), subword_counts(w, buckets)) for w in words if len(w) > _BLOCK]
-    return np.sort(np.concatenate(bags))
+    """The buckets of all subwords of a text, ascending, and how often each is there, a row for both. At most `buckets` columns."""
+    counts = np.zeros(buckets, np.int64)
+    for word, n in Counter((text or "").lower().split()).items():
+        if len(word) <= _BLOCK:
+            np.add.at(counts, np.array(subwords(word, buckets), np.int64), n)
+        else:
+            counts += n * subword_counts(word, buckets)
+    some = np.flatnonzero(counts)
+    return np.stack([some, counts[some]]).astype("<u4")
 
 
 @dataclass
@@ -85,7 +90,8 @@ class Model:
 
 
 def train(bags: list[np.ndarray], y: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 12, rate: float = 0.6, drawn: int = 256, seed: int = 5) -> Model:
-    """Stochastic gradient descent in numpy. bags: each text's subwords. A step draws `drawn` subwords of each of 32 texts."""
+    """Stochastic gradient descent in numpy. bags: see bag_of. A step draws `drawn` subwords of each of 32 texts."""
+    ends = [b[1].cumsum(dtype=np.int64) for b in bags]
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     w, b = np.zeros((dim, len(labels)), np.float32), np.zeros(len(labels), np.float32)
@@ -95,7 +101,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, labels: list[str], buckets: int
         if len(order) < 32:
             order = np.concatenate([order, rng.permutation(len(bags))])
         own, order = order[:32], order[32:]
-        ids = np.stack([bags[i][rng.integers(len(bags[i]), size=drawn)] for i in own])
+        ids = np.stack([bags[i][0][np.searchsorted(ends[i], rng.integers(ends[i][-1], size=drawn), side="right")] for i in own])
         h = e[ids].mean(axis=1)
         z = h @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -114,8 +120,8 @@ def calibrate(model: Model, bags: list[np.ndarray], y: np.ndarray, precision: fl
     texts are right in `precision` of the cases, and at least halfway from chance to the lowest scores (0.1 %) of right ones."""
     if not bags:
         return
-    sums = np.stack([model.table[x].sum(axis=0) for x in bags])
-    n = np.array([len(x) for x in bags])
+    sums = np.stack([n @ model.table[x].astype(np.float64) for x, n in bags])
+    n = np.array([b[1].sum() for b in bags])
     losses = []
     for t in np.geomspace(0.05, 20, 60):
         model.temperature = t
@@ -133,7 +139,8 @@ def calibrate(model: Model, bags: list[np.ndarray], y: np.ndarray, precision: fl
 
 
 def sample_bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, buckets: int, seed: int) -> tuple[list[np.ndarray], list[str]]:
-    """Subwords and languages of about `rows` labelled rows, as many of each language, chosen by a hash of the id."""
+    """Bags (see bag_of) and languages of about `rows` labelled rows, as many of each language, chosen by a hash of the id. A bag has
+    at most `buckets` pairs, however long its text is, so what the driver gets is bounded."""
     counts = {r["l"]: r["n"] for r in docs.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
@@ -151,7 +158,7 @@ def sample_bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows
 
     got = chosen.mapInArrow(gather, "at long, lang string, bag binary").where(F.length("bag") > 0).collect()
     got.sort(key=lambda r: (r["at"], r["lang"], r["bag"]))
-    return [np.frombuffer(r["bag"], "<u2") for r in got], [r["lang"] for r in got]
+    return [np.frombuffer(r["bag"], "<u4").reshape(2, -1) for r in got], [r["lang"] for r in got]
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1500, buckets: int = 32_768, precision: float = 0.99, seed: int = 5) -> Model:
