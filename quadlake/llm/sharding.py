@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,60 +10,35 @@ from .common import Scratch, digest, ranked
 _BITS, _STEP, _PASSES = 40, 12, 3
 
 
-@dataclass
-class Node:
-    """A box of the tree that is to hold `shards` shards from `first` on; a split box has a dimension and a threshold."""
-
-    first: int
-    shards: int
-    dim: int = -1
-    below: int = 0
-    left: Node | None = None
-    right: Node | None = None
-
+def of_dim(dim: Column) -> Column:
+    """The value of the dimension with a number."""
+    return F.when(dim == 0, F.col("d0")).when(dim == 1, F.col("d1")).otherwise(F.col("d2"))
 
-def leaf_of(node: Node, dims: list[Column]) -> Column:
-    """The first shard of the leaf that a row falls in."""
-    if node.left is None:
-        return F.lit(node.first)
-    return F.when(dims[node.dim] < F.lit(node.below), leaf_of(node.left, dims)).otherwise(leaf_of(node.right, dims))
 
+def split(points: DataFrame, nodes: DataFrame, scratch: Scratch, level: int) -> DataFrame:
+    """at, half, dim, below of every node with points: rows of box `at` with at least `below` in dimension `dim` go to box at + half.
+    nodes: at, shards, the boxes of this level that are to hold several shards.
 
-def choose(nodes: list[Node], at: Column, values: list) -> Column:
-    """The value of the row's leaf; null in leaves without one."""
-    out = F.lit(None)
-    for node, v in zip(nodes, values, strict=True):
-        out = F.when(at == node.first, v).otherwise(out)
-    return out
-
-
-def split(points: DataFrame, root: Node, leaves: list[Node], dims: list[Column]) -> None:
-    """Splits the leaves, all at once, at the weighted median (by shards) of the dimension in which each is widest."""
-    at = leaf_of(root, dims)
-    spans = [(F.max(d) - F.min(d)).alias(f"w{i}") for i, d in enumerate(dims)]
-    wide = {r["at"]: r for r in points.groupBy(at.alias("at")).agg(F.sum("size").alias("size"), *spans).collect()}
-    x = choose(leaves, at, [dims[max(range(len(dims)), key=lambda i: (wide[n.first][f"w{i}"], -i)) if n.first in wide else 0] for n in leaves])
-    goal = {n.first: wide[n.first]["size"] * (n.shards // 2) / n.shards if n.first in wide else 0.0 for n in leaves}
-    prefix, passed = {n.first: 0 for n in leaves}, dict.fromkeys(goal, 0)
-    below = {}
+    A box is cut in the dimension in which it is widest, where its bytes are parted in the ratio of the shards on both sides. The
+    place is found _STEP bits at a time, for all boxes at once; tables of boxes have a row a shard at most and are broadcast.
+    """
+    wide = points.join(F.broadcast(nodes), "at").groupBy("at").agg(F.first("shards").alias("shards"), F.sum("size").alias("bytes"), *[(F.max(f"d{i}") - F.min(f"d{i}")).alias(f"w{i}") for i in range(3)])
+    most = F.greatest("w0", "w1", "w2")
+    half = F.floor(F.col("shards") / 2)
+    zero = F.lit(0).cast("long")
+    state = wide.select("at", half.alias("half"), F.when(F.col("w0") == most, 0).when(F.col("w1") == most, 1).otherwise(2).alias("dim"), (F.col("bytes") * half / F.col("shards")).alias("goal"), zero.alias("prefix"), zero.alias("passed"), zero.alias("below"))
+    state = scratch.write(state, f"state{level}")
     for k in range(_PASSES):
         low = _BITS - _STEP * (k + 1)
-        own = points.select(at.alias("at"), x.alias("x"), "size").where(F.col("at").isin([n.first for n in leaves]))
-        own = own.where(F.shiftright("x", low + _STEP) == choose(leaves, F.col("at"), [F.lit(prefix[n.first]).cast("long") for n in leaves]))
+        own = points.join(F.broadcast(state), "at").withColumn("x", of_dim(F.col("dim"))).where(F.shiftright("x", low + _STEP) == F.col("prefix"))
         sums = own.groupBy("at", F.shiftright("x", low).alias("bin")).agg(F.sum("size").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("at").orderBy("bin"))
-        want = choose(leaves, F.col("at"), [F.lit(float(goal[n.first] - passed[n.first])) for n in leaves])
-        hit = sums.withColumn("upto", upto).where((F.col("upto") > want) | F.col("upto").isNull()).groupBy("at").agg(F.min(F.struct("bin", "upto", "n")).alias("hit"))
-        for r in hit.collect():
-            b, start = r["hit"]["bin"], passed[r["at"]] + r["hit"]["upto"] - r["hit"]["n"]
-            prefix[r["at"]], passed[r["at"]] = b, start
-            nearer_end = start + r["hit"]["n"] - goal[r["at"]] < goal[r["at"]] - start
-            below[r["at"]] = (b + nearer_end) << low
-    for node in leaves:
-        first = node.shards // 2
-        node.dim = max(range(len(dims)), key=lambda i: (wide[node.first][f"w{i}"], -i)) if node.first in wide else 0
-        node.below = below.get(node.first, 0)
-        node.left, node.right = Node(node.first, first), Node(node.first + first, node.shards - first)
+        upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("at").orderBy("bin"))).join(F.broadcast(state), "at")
+        hit = upto.where(F.col("upto") > F.col("goal") - F.col("passed")).groupBy("at").agg(F.min(F.struct("bin", "upto", "n")).alias("hit"))
+        start = F.col("passed") + F.col("hit.upto") - F.col("hit.n")
+        nearer_end = (start + F.col("hit.n") - F.col("goal") < F.col("goal") - start).cast("long")
+        moved = state.drop("prefix", "below").join(hit, "at").select("at", "half", "dim", "goal", F.col("hit.bin").alias("prefix"), start.alias("passed"), F.shiftleft(F.col("hit.bin") + nearer_end, low).alias("below"))
+        state = scratch.write(moved, f"state{level}-{k}")
+    return state.select("at", "half", "dim", "below")
 
 
 def shard(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -78,7 +51,8 @@ def shard(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col
     rows get their own slots. An empty table gives no rows. Other columns are not read.
 
     The text is read once; a level of the tree is four aggregations over narrow rows: a box's spans, then 12 bits at a time
-    of the median, all boxes at once. Slots are numbered within parts of a shard, shifted by a prefix sum of the parts' sizes.
+    of the median, all boxes at once. A row has its box in a column and learns of a cut by a broadcast join, so the plan of a level
+    is the same for any number of shards. Slots are numbered within parts of a shard, shifted by a prefix sum of the parts' sizes.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -94,13 +68,15 @@ def shard(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col
         part = (F.col(name) - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.lit(0.0)
         return F.shiftleft(F.floor(part * float(2**20 - 1)), 20) + F.shiftrightunsigned("h1", 44)
 
-    points = scratch.write(raw.select("doc_id", "size", "text_crc32", *[scaled(n).alias(n) for n in names]), "points")
+    points = scratch.write(raw.select("doc_id", "size", "text_crc32", F.monotonically_increasing_id().alias("row"), *[scaled(n).alias(n) for n in names], F.lit(0).cast("long").alias("at")), "points0")
     scratch.drop("raw")
-    dims = [F.col(n) for n in names]
-    root = Node(0, shards)
-    leaves = [root]
-    while leaves := [n for n in leaves if n.shards > 1]:
-        split(points, root, leaves, dims)
-        leaves = [x for n in leaves for x in (n.left, n.right)]
-    placed = points.select("doc_id", "size", "text_crc32", leaf_of(root, dims).cast("int").alias("shard"))
-    return ranked(placed, ["shard"], [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")], [F.col("doc_id"), F.col("text_crc32")], "slot")
+    nodes, level = [(0, shards)], 0  # first shard and number of shards of a box
+    while nodes := [n for n in nodes if n[1] > 1]:
+        cut = split(points, docs.sparkSession.createDataFrame(nodes, "at long, shards long"), scratch, level)
+        over = of_dim(F.col("dim")) >= F.col("below")
+        points = scratch.write(points.join(F.broadcast(cut), "at", "left").withColumn("at", F.col("at") + F.when(over, F.col("half")).otherwise(0)).select(points.columns), f"points{level + 1}")
+        scratch.drop(f"points{level}")
+        nodes = [x for first, n in nodes for x in ((first, n // 2), (first + n // 2, n - n // 2))]
+        level += 1
+    placed = points.select("doc_id", "size", "text_crc32", "row", F.col("at").cast("int").alias("shard"))
+    return ranked(placed, ["shard"], [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")], [F.col("row")], "slot").drop("row")

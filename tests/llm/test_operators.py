@@ -262,6 +262,16 @@ def test_sharding(make, texts):
     assert shard(make([])).count() == 0
 
 
+def test_sharding_of_one_text_many_times(make):
+    """Repeated rows of one null id: one shard, and no part of its numbering has them all."""
+    rows = [(None, "same text", "en", "s")] * 600 + [(i, f"text {i}", "en", "s") for i in range(50)]
+    got = shard(make(rows), shards=4).collect()
+    same = [r for r in got if r.doc_id is None]
+    assert len({r.shard for r in same}) == 1
+    for k in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
 def test_sketches_peel():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
