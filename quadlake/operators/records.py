@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable
@@ -15,6 +16,10 @@ from ..params import COCO_THRESHOLDS, PARAMS
 from .exports import write_tree
 
 
+#: Rows of a part of a digest.
+_PART_ROWS = 50_000
+
+
 def stamp(now: datetime | None = None) -> str:
     """A UTC time as in 20260102T030405Z."""
     return (now or datetime.now(UTC)).astimezone(UTC).strftime("%Y%m%dT%H%M%SZ")
@@ -30,13 +35,20 @@ def write_json(spark: SparkSession, root: str, name: str, value: dict) -> None:
 
 
 def assignment_digest(assigned: DataFrame, key: str = "split") -> str:
-    """SHA-256 that names an assignment whatever the order of its rows. Rows are hashed in 4096 parts by the MD5 of their id, each
-    sorted by itself; the digest is over the parts' digests in order, so no task and not the driver needs all ids."""
+    """SHA-256 that names an assignment whatever the order of its rows. Rows are hashed in parts by the first digits of the MD5 of
+    their id, each part sorted by itself; a digest over up to 4096 digests of parts, in order, names what they have in common, and
+    so on to the top. The number of parts follows that of the rows, so no task and not the driver needs many ids."""
+    digits, n = 3, assigned.count()
+    while 16**digits * _PART_ROWS < n:
+        digits += 3
     row = F.to_json(F.struct("id", F.col(key).alias("to")))
-    part = F.substring(F.md5(F.col("id").cast("string")), 1, 3)
+    part = F.substring(F.md5(F.col("id").cast("string")), 1, digits)
     parts = assigned.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("sha"))
-    all_parts = F.array_join(F.array_sort(F.collect_list(F.concat("part", "sha"))), "\n")
-    return parts.agg(F.sha2(all_parts, 256)).first()[0]
+    for shorter in range(digits - 3, -1, -3):
+        below = F.array_join(F.array_sort(F.collect_list(F.concat("part", "sha"))), "\n")
+        parts = parts.groupBy(F.substring("part", 1, shorter).alias("up")).agg(F.sha2(below, 256).alias("sha")).withColumnRenamed("up", "part")
+    found = parts.first()
+    return found["sha"] if found else hashlib.sha256(b"").hexdigest()
 
 
 def write_assignment(assigned: DataFrame, root: str, *, key: str = "split", **notes) -> dict:
@@ -71,10 +83,15 @@ def match_thresholds() -> list[float]:
     return sorted({PARAMS.match_iou, *COCO_THRESHOLDS})
 
 
-def class_ids(rows: DataFrame, classes: dict[int, str], name: str = "class_name") -> DataFrame:
-    """Adds class_id for a class name; an unknown name is an error of the query that reads it."""
-    found = F.element_at(F.create_map(*[F.lit(x) for k, v in classes.items() for x in (v, k)]), F.col(name)) if classes else F.lit(None).cast("int")
-    return rows.withColumn("class_id", F.coalesce(found, F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(name), F.lit("null")))).cast("int")))
+def class_ids(rows: DataFrame, classes: DataFrame | dict[int, str], name: str = "class_name") -> DataFrame:
+    """Adds class_id for a class name; an unknown name is an error of the query that reads it. classes: class_id, class_name (unique),
+    as a table or a dict; Spark broadcasts it if it is small."""
+    if isinstance(classes, dict):
+        classes = rows.sparkSession.createDataFrame(list(classes.items()), "class_id int, class_name string")
+    known = classes.select("class_id", F.col("class_name").alias("_name"))
+    out = rows.join(known, F.col(name) == F.col("_name"), "left").drop("_name")
+    unknown = F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(name), F.lit("null")))).cast(known.schema["class_id"].dataType)
+    return out.withColumn("class_id", F.coalesce("class_id", unknown))
 
 
 def padding_caveat(trained_padded: Column, infers_padded: Column) -> Column:

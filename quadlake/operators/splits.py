@@ -117,7 +117,7 @@ def grouped_folds(samples: DataFrame, k: int = PARAMS.folds) -> DataFrame:
     ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy("grp")) - 1)
     on = (F.col("size") == F.col("p_size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     fold = F.get("folds", ((F.col("rank") - F.col("lo")) % F.size("folds")).cast("int"))
-    return samples.join(ranked.join(F.broadcast(plan), on).select("grp", fold.alias("fold")), "grp").select("id", "grp", "fold")
+    return samples.join(ranked.join(plan, on).select("grp", fold.alias("fold")), "grp").select("id", "grp", "fold")
 
 
 def integrity(samples: DataFrame, assigned: DataFrame) -> DataFrame:

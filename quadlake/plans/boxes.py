@@ -40,9 +40,14 @@ def truth_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return filtered(spark, sf).where("kept").select("image_id", F.col("ann_idx").alias("truth_idx"), F.col("quad_px").alias("q"))
 
 
-def pred_polygons(spark: SparkSession, sf: str) -> DataFrame:
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
     quad = g.box_quad(*[F.col(c) for c in ("cx", "cy", "w", "h", "theta")])
-    return written(fx(spark, sf, "fx_pred").select("image_id", "pred_idx", "score", quad.alias("q"), "theta"))
+    return fx(spark, sf, "fx_pred").select("image_id", "pred_idx", "score", quad.alias("q"), "theta")
+
+
+def pred_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions, written for queries that read them more than once."""
+    return written(predictions(spark, sf))
 
 
 # SQL of the other engine. tq: a row for each truth with normalised (nx, ny) and pixel (x, y) vertices.
@@ -172,6 +177,15 @@ def pad_quads(spark, sf):
     return truth(spark, sf).select("image_id", "ann_idx", *flat(g.pad(F.col("quad_n"), 0.25)))
 
 
+_UNPADDED = {k: f"(round_even(({v} * 1.5 - 0.25) * {GRID}, 0) / {GRID})" for k, v in {f"{c}{i}": f"(round_even((n{c}{i} / 1.5 + 0.25 / 1.5) * {GRID}, 0) / {GRID})" for i in range(4) for c in "xy"}.items()}
+
+
+@query(f"WITH {TQ} SELECT image_id, ann_idx, {', '.join(f'round({v}, 6) AS {k}' for k, v in _UNPADDED.items())} FROM tq")
+def unpad_quads(spark, sf):
+    """Padded as for inference, and back."""
+    return truth(spark, sf).select("image_id", "ann_idx", *flat(g.unpad(g.pad(F.col("quad_n"), 0.25), 0.25)))
+
+
 @query(f"WITH {TQ} SELECT count(*) AS n, count(*) FILTER (WHERE {_OUT}) AS outside, count(DISTINCT image_id) FILTER (WHERE {_OUT}) AS images FROM tq")
 def out_of_bounds_share(spark, sf):
     out = g.out_of_bounds(F.col("quad_n"))
@@ -247,14 +261,14 @@ def angle_error(spark, sf):
 
 @query(f"WITH {TQ} SELECT image_id, ann_idx, round(rel, 6) AS relative_area, kept FROM tq")
 def relative_area_filter(spark, sf):
-    return filtered(spark, sf).select("image_id", "ann_idx", r("relative_area").alias("relative_area"), "kept")
+    return an.area_filter(truth(spark, sf)).select("image_id", "ann_idx", r("relative_area").alias("relative_area"), "kept")
 
 
 @query(f"""WITH {TQ} SELECT count(*) AS n, count(*) FILTER (WHERE NOT kept) AS dropped, count(DISTINCT image_id) FILTER (WHERE NOT kept) AS images,
  round(min(rel), 6) AS least FROM tq""")
 def area_filter_report(spark, sf):
     gone = ~F.col("kept")
-    return filtered(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.sum(gone.cast("long")).alias("dropped"), F.count_distinct(F.when(gone, F.col("image_id"))).alias("images"), r(F.min("relative_area")).alias("least"))
+    return an.area_filter(truth(spark, sf)).agg(F.count(F.lit(1)).alias("n"), F.sum(gone.cast("long")).alias("dropped"), F.count_distinct(F.when(gone, F.col("image_id"))).alias("images"), r(F.min("relative_area")).alias("least"))
 
 
 _PADDED = {f"{c}{i}": f"(round_even((n{c}{i} / 1.5 + 0.25 / 1.5) * {GRID}, 0) / {GRID})" for i in range(4) for c in "xy"}
@@ -356,8 +370,8 @@ IOU = inter_sql("pq", "kq", "a.image_id, a.pred_idx, b.idx AS truth_idx", "a.ima
 
 @query(f"WITH {TQ}, {KEPT}, {PQ}, {IOU} SELECT image_id, pred_idx, truth_idx, round(iou, 6) AS iou FROM iou0 WHERE inter > 1e-6", name="rotated_iou")
 def rotated_iou_query(spark, sf):
-    a = pred_polygons(spark, sf).select("image_id", F.col("pred_idx").alias("a_idx"), F.col("q").alias("qa"))
-    b = truth_polygons(spark, sf).select("image_id", F.col("truth_idx").alias("b_idx"), F.col("q").alias("qb"))
+    a = predictions(spark, sf).select("image_id", F.col("pred_idx").alias("a_idx"), F.col("q").alias("qa"))
+    b = an.area_filter(truth(spark, sf)).where("kept").select("image_id", F.col("ann_idx").alias("b_idx"), F.col("quad_px").alias("qb"))
     out = rotated_iou(a, b, ["image_id"]).where("inter > 1e-6")
     return out.select("image_id", F.col("a_idx").alias("pred_idx"), F.col("b_idx").alias("truth_idx"), r("iou").alias("iou"))
 

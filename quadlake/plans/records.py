@@ -125,8 +125,8 @@ def run_stamp(spark, sf):
 
 @query("SELECT n_nationkey, r_name AS class_name, n_regionkey AS class_id FROM nation JOIN region ON n_regionkey = r_regionkey")
 def class_lookup(spark, sf):
-    """Class names to ids; the classes are those of region, a table of a few rows. An unknown name would be an error."""
-    classes = {x["r_regionkey"]: x["r_name"] for x in table(spark, sf, "region").select("r_regionkey", "r_name").collect()}
+    """Class names to ids; the classes are those of region. An unknown name would be an error."""
+    classes = table(spark, sf, "region").select(F.col("r_regionkey").alias("class_id"), F.col("r_name").alias("class_name"))
     named = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return records.class_ids(named.select("n_nationkey", F.col("r_name").alias("class_name")), classes)
 
