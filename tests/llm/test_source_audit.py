@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quadlake.llm.source_audit import pair_excess, source_audit
+from quadlake.llm import source_audit as module
+from quadlake.llm.source_audit import pair_excess, source_audit, vocabulary_sizes
 
 
 def slow(rows, least, top):
@@ -33,7 +34,9 @@ def slow(rows, least, top):
 
 
 @pytest.mark.parametrize("limits", [{}, {"slice_terms": 20, "block_rows": 40, "tile": 2}])
-def test_equals_brute_force(make, texts, limits):
+def test_equals_brute_force(make, texts, limits, monkeypatch):
+    if limits:
+        monkeypatch.setattr(module, "vocabulary_sizes", lambda tokens, least: dict.fromkeys(range(9), 60.0))  # four slices
     rng = random.Random(6)
     rows = [(t, rng.choice(["en", "de", None, ""]), rng.choice(["a", "b", "é", "B", None])) for t in texts]
     for _ in range(400):
@@ -45,6 +48,15 @@ def test_equals_brute_force(make, texts, limits):
     assert got == slow(rows, 8, 5)
 
 
+def test_vocabulary_sizes(spark):
+    rng = random.Random(2)
+    rows = [(k % 2, [f"t{int(rng.expovariate(0.02 + k % 2 / 50))}" for _ in range(40)]) for k in range(300)]
+    tokens = spark.createDataFrame(rows, "code int, terms array<string>")
+    want = {c: sum(n >= 10 for n in Counter(t for own, ts in rows if own == c for t in set(ts)).values()) for c in (0, 1)}
+    assert vocabulary_sizes(tokens, 10, share=1) == want
+    assert all(abs(vocabulary_sizes(tokens, 10, share=4).get(c, 0) - want[c]) < 0.6 * want[c] for c in (0, 1))
+
+
 def test_no_kept_terms_and_no_rows(make):
     docs = make([(1, "a b", "en", "s"), (2, "c", "en", "t"), (3, "c", "fr", "t"), (4, None, None, None)])
     assert sorted(tuple(r) for r in source_audit(docs, least=2).collect()) == [("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
