@@ -24,22 +24,29 @@ def blockers(role: Column, name: Column, license: Column, ready: Column, sources
     return F.concat(F.array_compact(fixed), from_sources)
 
 
-def verdicts(runs: DataFrame, components: DataFrame) -> DataFrame:
+def verdicts(runs: DataFrame, components: DataFrame, chain: DataFrame | None = None) -> DataFrame:
     """Runs with license_blockers, production_ready, provenance_blockers and reproducible. components: component_id, name,
-    license, production_ready, sources."""
-    d = components.select(*[F.col(c).alias(f"d_{c}") for c in components.columns])
-    s = components.select(*[F.col(c).alias(f"s_{c}") for c in components.columns])
-    out = runs.join(d, F.col("detector_id") == F.col("d_component_id"), "left").join(s, F.col("dataset_id") == F.col("s_component_id"), "left")
+    license, production_ready, sources; chain: run_id, place, dataset_id, the datasets of a run in order (None: its dataset_id).
+
+    A run is ready if its detector is and nothing in the chain is in the way: a dataset that isn't ready, its licence, or that of
+    one of its sources."""
     none = F.array().cast("array<string>")
-    side = lambda p, role: F.when(F.col(f"{p}_component_id").isNull(), none).otherwise(blockers(F.lit(role), F.col(f"{p}_name"), F.col(f"{p}_license"), F.col(f"{p}_production_ready"), F.col(f"{p}_sources")))
-    undeclared = F.when(F.col("d_component_id").isNull(), F.array(F.lit("no detector is declared"))).otherwise(none)
-    blocked = F.coalesce(~F.col("s_production_ready") | copyleft(F.col("s_license")) | F.exists("s_sources", copyleft), F.lit(False))
+    d = components.select(*[F.col(c).alias(f"d_{c}") for c in components.columns])
+    out = runs.join(d, F.col("detector_id") == F.col("d_component_id"), "left")
+    detector = F.when(F.col("d_component_id").isNull(), F.array(F.lit("no detector is declared"))).otherwise(blockers(F.lit("detector"), F.col("d_name"), F.col("d_license"), F.col("d_production_ready"), F.col("d_sources")))
+    links = chain if chain is not None else runs.select("run_id", F.lit(0).alias("place"), "dataset_id")
+    used = links.join(components, F.col("dataset_id") == F.col("component_id"))
+    bad = ~F.col("production_ready") | copyleft(F.col("license")) | F.exists("sources", copyleft)
+    why = blockers(F.lit("dataset"), F.col("name"), F.col("license"), F.col("production_ready"), F.col("sources"))
+    whole = used.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("place", "dataset_id", why.alias("why")))).alias("links"), F.max(bad).alias("blocked"))
+    whole = whole.select(F.col("run_id").alias("_run"), F.flatten(F.transform("links", lambda x: x["why"])).alias("of_datasets"), "blocked")
+    out = out.join(whole, F.col("run_id") == F.col("_run"), "left")
     provenance = F.array_compact(F.array(F.when(~F.col("git_available"), "git is not available"), F.when(F.col("git_available") & F.col("git_dirty"), "uncommitted changes")))
     return out.withColumns({
-        "license_blockers": F.concat(undeclared, side("d", "detector"), side("s", "dataset")),
-        "production_ready": F.coalesce(F.col("d_production_ready"), F.lit(False)) & ~blocked,
+        "license_blockers": F.concat(detector, F.coalesce("of_datasets", none)),
+        "production_ready": F.coalesce(F.col("d_production_ready"), F.lit(False)) & ~F.coalesce("blocked", F.lit(False)),
         "provenance_blockers": provenance,
-    }).withColumn("reproducible", F.size("provenance_blockers") == 0)
+    }).drop("_run", "of_datasets", "blocked").withColumn("reproducible", F.size("provenance_blockers") == 0)
 
 
 def cell(value: Column, half: Column) -> Column:

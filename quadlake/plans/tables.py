@@ -416,6 +416,23 @@ def production_ready(spark, sf):
     return run_verdicts(spark, sf).select("run_id", "production_ready", "reproducible")
 
 
+_CHAIN = "ch AS (SELECT run_id, k AS place, (run_id * 7 + 3 * k) % 10 AS dataset_id FROM fx_runs, LATERAL (SELECT unnest(range(run_id % 4)) AS k))"
+
+
+@query(f"""WITH {_CHAIN}, w AS (SELECT ch.run_id, place, {_why('s', 'dataset')} AS why, NOT s.production_ready OR s.license IN {_LEFT} OR s.source_license IN {_LEFT} AS bad FROM ch JOIN fx_components s ON ch.dataset_id = s.component_id),
+ g AS (SELECT run_id, flatten(list(why ORDER BY place)) AS why, bool_or(bad) AS bad FROM w GROUP BY run_id)
+ SELECT r.run_id, d.production_ready AND NOT coalesce(bad, FALSE) AS production_ready, array_to_string(list_concat({_why('d', 'detector')}, coalesce(g.why, [])), '; ') AS blockers
+ FROM fx_runs r JOIN fx_components d ON r.detector_id = d.component_id LEFT JOIN g ON r.run_id = g.run_id""")
+def chain_verdicts(spark, sf):
+    """Runs on chains of none to three datasets."""
+    runs = fx(spark, sf, "fx_runs")
+    none = F.array().cast("array<long>")
+    places = F.when(F.col("run_id") % 4 > 0, F.sequence(F.lit(0).cast("long"), F.col("run_id").cast("long") % 4 - 1)).otherwise(none)
+    chain = runs.select("run_id", F.explode(places).alias("place")).withColumn("dataset_id", (F.col("run_id") * 7 + 3 * F.col("place")) % 10)
+    v = governance.verdicts(runs, components(spark, sf), chain)
+    return v.select("run_id", "production_ready", F.array_join("license_blockers", "; ").alias("blockers"))
+
+
 @query(f"SELECT component_id, 'ready with a copyleft source' AS violation FROM fx_components WHERE production_ready AND source_license IN {_LEFT}")
 def dataset_violations(spark, sf):
     return governance.dataset_violations(components(spark, sf))
