@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,24 @@ def random_split(samples: DataFrame, ratios=PARAMS.ratios, seed: int = PARAMS.se
     return samples.join(placed.select("grp", split.alias("split")), "grp").select("id", "grp", "split")
 
 
+def create_split(samples: DataFrame, strategy: str, *, regex: str | None = None, manifest: DataFrame | None = None, independence_confirmed: bool = False, ratios=PARAMS.ratios, seed: int = PARAMS.seed) -> DataFrame:
+    """id, grp, split of a new split by group (see group_key). samples: id, and directory for that strategy; manifest: id, grp.
+
+    Options are checked before anything is read. Without groups each sample is taken as independent of all others; as takes of one
+    thing in two splits make results look better than they are, that has to be confirmed."""
+    if strategy == "none" and not independence_confirmed:
+        raise ValueError("strategy none takes every sample as independent: confirm it with independence_confirmed, or name a group")
+    if strategy == "prefix" and (not regex or re.compile(regex).groups != 1):
+        raise ValueError("strategy prefix needs a pattern with one capture, the group")
+    if strategy == "manifest" and manifest is None:
+        raise ValueError("strategy manifest needs a manifest of id and grp")
+    rows = samples
+    if strategy == "manifest":
+        rows = samples.join(manifest.select("id", F.col("grp").alias("_grp")), "id", "left")
+    given = {"directory": F.col("directory")} if strategy == "directory" else {"manifest": F.col("_grp")} if strategy == "manifest" else {}
+    return random_split(rows.select("id", group_key(strategy, F.col("id"), regex=regex, **given).alias("grp")), ratios, seed)
+
+
 def extend_splits(samples: DataFrame, known: DataFrame, ratios=PARAMS.ratios, seed: int = PARAMS.seed + 1, adopted: DataFrame | None = None) -> DataFrame:
     """id, grp, split, how for samples that aren't known: the split of their group if it has one, else that of their folder
     (adopted: id, split), else a fresh cut. samples: id, grp; known: id, split. Known samples stay where they are."""

@@ -212,6 +212,13 @@ def random_split(spark, sf):
     return splits.random_split(customers(spark, sf))
 
 
+@query(f"WITH gs AS (SELECT DISTINCT c_nationkey AS grp FROM customer), {_cut_sql('gs', PARAMS.seed, 'ct')} SELECT 'c' || c_custkey AS id, CAST(grp AS VARCHAR) AS grp, split FROM customer JOIN ct ON c_nationkey = grp")
+def create_split(spark, sf):
+    """A new split by the groups of a manifest."""
+    c = customers(spark, sf).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), F.col("grp").cast("string").alias("grp"))
+    return splits.create_split(c.select("id"), "manifest", manifest=c)
+
+
 def known_customers(spark, sf) -> DataFrame:
     k = F.col("grp") % 10
     return customers(spark, sf).where("grp < 20 and id % 3 <> 0").select("id", F.when(k < 7, "train").when(k < 9, "valid").otherwise("test").alias("split"))
