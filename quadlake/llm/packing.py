@@ -7,6 +7,9 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
+from operator import is_
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, slices
-from .token_counts import Pieces, load
+from .common import BLANKS, Scratch, held, slices
+from .token_counts import _LONG, Pieces, load
 
 #: Words of these letters stand for themselves in any normal form and in lower case, and are one piece for the pre-tokenizer.
 _SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: Characters whose pieces are looked up together, and bytes of ids that a batch has before it goes out.
+_BLOCK, _OUT = 500_000, 8_000_000
 #: Rows of prefix sums (three numbers each) that a broadcast may have: some 5 MB.
 _BROADCAST_ROWS = 200_000
 
@@ -77,20 +82,69 @@ def pack(histogram: dict[int, int], size: int) -> list[Slots]:
     return out
 
 
+def _kinds(letters: str, marks: str) -> bytes:
+    """Bits by byte: two neighbours without a common bit are always in different pre-tokens. 1 letters, 2 marks, 4 blanks; other
+    bytes share a bit with letters and with marks, so nothing is cut beside them but at blanks."""
+    kinds = bytearray([3] * 256)
+    for bit, members in ((1, letters), (2, marks), (4, BLANKS)):
+        for c in members.encode("latin-1"):
+            kinds[c] = bit
+    return bytes(kinds)
+
+
+#: The apostrophe isn't among the marks: with some letters after it, it is a pre-token.
+_ASCII_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LOWER = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+#: Where a byte is a character, and where only ASCII bytes are.
+_KINDS = {"latin-1": _kinds(_LOWER, _ASCII_MARKS + "¡¿«»"), "utf-8": _kinds(ascii_letters, _ASCII_MARKS)}
+
+
+def cut_words(texts: list[bytes], codec: str) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The texts' pieces without the blanks between them, all texts' after each other, and where each text's end. Cuts are at
+    blanks and between letters and marks, where the tokenizer cuts too."""
+    raw = b"\n".join(texts) + b"\n"
+    kind = np.frombuffer(raw.translate(_KINDS[codec]), np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero((kind[1:] & kind[:-1]) == 0) + 1])
+    solid = kind[starts] != 4
+    ends = np.searchsorted(starts[solid], np.cumsum([len(t) + 1 for t in texts]))
+    offsets = np.concatenate([[0], np.cumsum(np.diff(np.append(starts, len(raw)))[solid])]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw.translate(None, BLANKS.encode()))]), ends
+
+
 class Encoded(Pieces):
-    """chunk between blanks -> its ids as little-endian 32-bit bytes."""
+    """piece of a text -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, tokenizer, table: dict, bound: int):
-        from tokenizers import pre_tokenizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__(tokenizer, table, bound)
         seen = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: seen.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.words = Tokenizer(tokenizer.model)
+        self.words.normalizer, self.words.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.last[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def simple(self, words: list[str]) -> list[bytes]:
+        """Simple words need neither normalizer nor pre-tokenizer: the library's model gets them as they stand, some together.
+        A word ends with its only token that has the model's suffix; without one the words go one by one."""
+        words = [w if w.isascii() else w.translate(self.letters) for w in words]
+        out: list[bytes] = []
+        for i in range(0, len(words), 500):
+            block = words[i : i + 500]
+            ids = np.array(self.words.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(block):
+                out += self.cut(ids, [0, *ends[:-1].tolist()], ends.tolist())
+            else:
+                out += [array("I", [t.id for t in self.tokenizer.model.tokenize(w)]).tobytes() for w in block]
+        return out
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
-        """Simple words need neither normalizer nor pre-tokenizer: the library's model gets them as they stand."""
-        model, letters = self.tokenizer.model.tokenize, self.letters
-        out = {p: array("I", [t.id for t in model(p if p.isascii() else p.translate(letters))]).tobytes() for p in pieces if _SIMPLE.fullmatch(p)}
+        plain = [p for p in pieces if _SIMPLE.fullmatch(p)]
+        out = dict(zip(plain, self.simple(plain), strict=True))
         others = [p for p in pieces if p not in out]
         out.update(zip(others, super().encoded(others), strict=True))
         return [out[p] for p in pieces]
@@ -103,18 +157,66 @@ class Encoded(Pieces):
         """Special tokens are sought before letters are lowered, so nothing that could become one is lowered here."""
         return piece.lower() if piece.isascii() and "<|" not in piece else piece
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The tokenizer lowers letters; here it is done for whole ASCII texts, where it can't make a special token."""
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
+    def values_of(self, names: list[str]) -> list[bytes]:
+        """The values of different pieces. Simple words have nothing to strip; those that are missing come from the old generation
+        or from the model, and at most a quarter of a generation is added together."""
+        values = list(map(self.get, names))
+        simple, others = [], []
+        for i in compress(range(len(names)), map(is_, values, repeat(None))):
+            (simple if _SIMPLE.fullmatch(names[i]) and len(names[i]) <= _LONG else others).append(i)
+        for k in range(0, len(simple), self.bound // 4):
+            at = simple[k : k + self.bound // 4]
+            words = [names[i] for i in at]
+            known = list(map(self.old.get, words))
+            fresh = iter(self.simple(list(compress(words, map(is_, known, repeat(None))))))
+            known = [next(fresh) if v is None else v for v in known]
+            self.room(len(words))
+            self.update(zip(words, known, strict=True))
+            for i, v in zip(at, known, strict=True):
+                values[i] = v
+        for i, v in zip(others, self.filled([[names[i] for i in others]])[0], strict=True):
+            values[i] = v
+        return values
+
+    def joined(self, texts: list[bytes], codec: str) -> list[bytes]:
+        """Each text's ids. Of the texts' pieces each is looked up once."""
+        words, ends = cut_words(texts, codec)
+        found = words.dictionary_encode()
+        names = [w.decode(codec) for w in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ids = pa.array(self.values_of(names), pa.large_binary()).take(found.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.append(0, ends)].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [not any(s in t for s in self.specials) for t in texts]
-        found = self.found([t for t, p in zip(texts, plain, strict=True) if p], self.chunks)
-        for t, p in zip(texts, plain, strict=True):
-            yield b"".join(next(found)) if p else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        """Texts of characters below 256 are lowered as a whole: no normal form changes them, and each character has one lower
+        form. Not where that could make a special token. Other letters may compose with what follows, and stay."""
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            some.append(text)
+            size += len(text)
+            if size > _BLOCK or k == len(texts) - 1:
+                yield from self.block(some)
+                some, size = [], 0
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        dealt: dict[str, tuple[list[int], list[bytes]]] = {"latin-1": ([], []), "utf-8": ([], [])}
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.specials):
+                out[i] = np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            try:
+                codec, raw = "latin-1", (t if "<|" in t else t.lower()).encode("latin-1")
+            except UnicodeEncodeError:
+                codec, raw = "utf-8", t.encode()
+            dealt[codec][0].append(i)
+            dealt[codec][1].append(raw)
+        for codec, (at, raws) in dealt.items():
+            if at:
+                for i, ids in zip(at, self.joined(raws, codec), strict=True):
+                    out[i] = ids
+        return out
 
 
 def pieces(docs: DataFrame, spec: str, size: int, end_id: int, id_col: str, text_col: str, cache_size: int = 400_000) -> DataFrame:
@@ -126,8 +228,14 @@ def pieces(docs: DataFrame, spec: str, size: int, end_id: int, id_col: str, text
         encoded = held(("packing", spec, cache_size), lambda: Encoded(load(spec), {"": b""}, cache_size))
         task, own = TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
+
+        def table(doc_ids: pa.Array, rows: list) -> pa.RecordBatch:
+            at, start, n, total, number, ids = zip(*rows, strict=True) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(total, pa.int64()), pa.array([task] * len(rows), pa.int32()), pa.array(number, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "task", "own", "ids"])
+
         for batch in slices(batches):
             rows: list = []
+            held_back = 0
             for i, ids in enumerate(encoded.ids([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end
                 total = len(ids) // 4
@@ -135,8 +243,11 @@ def pieces(docs: DataFrame, spec: str, size: int, end_id: int, id_col: str, text
                     n = min(size, total - start)
                     rows.append((i, start, n, total, own[n], ids[4 * start : 4 * (start + n)]))
                     own[n] += 1
-            at, start, n, total, number, ids = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(total, pa.int64()), pa.array([task] * len(rows), pa.int32()), pa.array(number, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "task", "own", "ids"])
+                held_back += len(ids)
+                if held_back > _OUT:
+                    yield table(batch.column(0), rows)
+                    rows, held_back = [], 0
+            yield table(batch.column(0), rows)
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc_id {kind}, start long, length int, doc_tokens long, task int, own long, ids binary")
@@ -147,10 +258,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, en
 
     A document is the ids of its whole text, then end_id. It is cut into full sequences and a rest, and a rest is cut again
     only where the packs would otherwise be more than the ids need (see pack). tokenizer_path is a file of the library
-    `tokenizers` whose pre-tokenizer drops blanks. Null and empty texts are one id. Null ids stay null; repeated rows are
+    `tokenizers` whose normalizer lowers letters and whose pre-tokenizer drops blanks and parts letters from marks. Null and empty texts are one id. Null ids stay null; repeated rows are
     packed as often as they stand there. An empty table gives no rows. Other columns are not read.
 
-    Texts are encoded in one map, chunk by chunk through a bounded cache, and written with a number among the pieces of the
+    Texts are encoded in one map, each of a block's different pieces once, through a bounded cache, and written with a number among the pieces of the
     same length in the same task. The driver sees the histogram of lengths only (at most `size` rows) and the slots made from
     it. A piece's rank among all of its length is its number plus a prefix sum over tasks; ranks and lengths find the slots.
     """

@@ -100,12 +100,16 @@ class Pieces(dict):
             out += self.cut(ids, starts.tolist(), ends.tolist())
         return out
 
-    def learn(self, missing: list[str]) -> None:
-        """Marks at the end of a word are pieces of their own for the tokenizer, so the word is looked up without them."""
-        if len(self) + len(missing) > self.bound + len(self.table):
+    def room(self, n: int) -> None:
+        """The young generation becomes the old one where n more pieces would be too many."""
+        if len(self) + n > self.bound + len(self.table):
             self.old = dict(self)
             self.clear()
             self.update(self.table)
+
+    def learn(self, missing: list[str]) -> None:
+        """Marks at the end of a word are pieces of their own for the tokenizer, so the word is looked up without them."""
+        self.room(len(missing))
         old, parts, unknown = self.old, [], set()
         add, base_of, parts_at = unknown.add, self.base, self.parts
         for piece in missing:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -195,6 +196,35 @@ def test_packing(make, texts):
     assert Counter(r.doc_id for r in again) == {None: 2, 3: 2} and sorted(r.offset for r in again)[0] == 0 and len({r.sequence_id for r in again}) == 1
 
 
+def test_packing_looks_up_each_word_once():
+    """Case and marks make no new words, beyond ASCII too; each word is looked up once for all texts."""
+    library = Tokenizer.from_file(WORD)
+    encoded = Encoded(library, {"": b""}, 100_000)
+    asked = []
+    encoded.values_of = lambda names, own=encoded.values_of: asked.extend(names) or own(names)
+    texts = ["Été, «ÉTÉ» (été)! straße:", "STRASSE été\tÉté?! Straße,straße\n\n", "", "été"] * 5
+    assert list(encoded.ids(texts)) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(asked) == len(set(asked)) and {w for w in asked if w.isalpha()} == {"été", "straße", "strasse"}
+    assert {w for w in encoded if any(c.isalpha() for c in w)} == {"été", "straße", "strasse"}
+
+
+def test_packing_cuts_where_the_library_cuts(monkeypatch):
+    """Mixed alphabets, combining marks, odd blanks, apostrophes and specials; small generations and blocks change nothing."""
+    library = Tokenizer.from_file(WORD)
+    rng = random.Random(8)
+    latin = [chr(c) for c in range(256)]
+    odd = [*"aeJgKcn.,!'<|>=-", "\u0301", "\u0338", "\u030c", "\u0345", "ſ", "İ", "ς", "Σ", "ﬁ", "क़", "だ", "\u3000", "\u2028", "\u00a0", "\x85", "\x1c", "😀", "Ⅷ", "²", " ", "\n", "'s", "'LL", "<|startoftext|>", "<|ENDOFTEXT|>", "<|"]
+    texts = ["".join(rng.choices(latin if k % 2 else odd, k=rng.randrange(60))) for k in range(3000)]
+    texts += ["".join(rng.choices("abcß é.,'7\n", k=40)) for _ in range(2000)] + ["é" * 300, "x" * 9000, "\r\x0b\x0c", "ab" * 40 + ","]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(Encoded(library, {"": b""}, 100_000).ids(texts)) == want
+    monkeypatch.setattr("quadlake.llm.packing._BLOCK", 500)
+    small = Encoded(library, {"": b""}, 400)
+    assert list(small.ids(texts)) == want and len(small) <= 500
+    small.last[:] = False
+    assert list(small.ids(texts[-600:])) == want[-600:]
+
+
 def test_pack_bulk():
     h = {7: 1000, 5: 400, 3: 100, 10: 5}
     slots = pack(h, 10)
