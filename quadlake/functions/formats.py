@@ -71,10 +71,10 @@ def rotated_box(px: Column) -> Column:
 
 FORMATS: dict[str, Format] = {
     "obb_yolo": Format("quad", False, lambda v, w, h: g.snapped(_vertices(v)), lambda q, w, h: _numbers(q)),
-    "dota": Format("quad", True, lambda v, w, h: g.to_norm(_vertices(v), w, h), lambda q, w, h: _numbers(g.to_px(q, w, h))),
-    "voc_xml": Format("rectangle", True, lambda v, w, h: g.to_norm(g.box_quad(*_at(v, 5)), w, h), lambda q, w, h: rotated_box(g.to_px(q, w, h))),
+    "dota": Format("quad", True, lambda v, w, h: g.to_norm(_vertices(v), w, h), lambda q, w, h: g.let(g.to_px(q, w, h), _numbers)),
+    "voc_xml": Format("rectangle", True, lambda v, w, h: g.to_norm(g.box_quad(*_at(v, 5)), w, h), lambda q, w, h: g.let(g.to_px(q, w, h), rotated_box)),
     "bbox_yolo": Format("envelope", False, lambda v, w, h: g.snapped(_centred(v)), lambda q, w, h: _to_centred(q)),
-    "coco": Format("envelope", True, lambda v, w, h: g.to_norm(_sided(v), w, h), lambda q, w, h: _to_sided(g.to_px(q, w, h))),
+    "coco": Format("envelope", True, lambda v, w, h: g.to_norm(_sided(v), w, h), lambda q, w, h: g.let(g.to_px(q, w, h), _to_sided)),
 }
 
 
